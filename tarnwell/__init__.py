@@ -1,0 +1 @@
+"""Analytics over file-metadata catalogues on PySpark."""
