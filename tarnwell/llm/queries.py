@@ -87,17 +87,17 @@ with lines as (
   select doc_id, no, line, lower(trim(line)) as n from (
     select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents)
 ), big as (select * from lines where length(n) >= 20),
-first as (select n, min(struct_pack(d := doc_id, i := no)) as at from big group by n),
+first as (select n, min(struct_pack(d := doc_id, i := no)) as pos from big group by n),
 halves as (
-  select n, at, unnest(list_distinct([
+  select n, pos, unnest(list_distinct([
     'h' || left(n, length(n) // 2), 't' || right(n, length(n) // 2),
     'h' || left(n, (length(n) - 1) // 2), 't' || right(n, (length(n) - 1) // 2)])) as half from first
 ), near as (
-  select distinct b.n from halves a join halves b on a.half = b.half and a.at < b.at
+  select distinct b.n from halves a join halves b on a.half = b.half and a.pos < b.pos
   where abs(length(a.n) - length(b.n)) <= 1 and levenshtein(a.n, b.n) <= 1
 ), marked as (
   select l.doc_id, l.no, l.line,
-    length(l.n) >= 20 and (x.n is not null or f.at <> struct_pack(d := l.doc_id, i := l.no)) as gone
+    length(l.n) >= 20 and (x.n is not null or f.pos <> struct_pack(d := l.doc_id, i := l.no)) as gone
   from lines l left join first f on l.n = f.n left join near x on l.n = x.n
 )
 select doc_id, count(*) as n_lines, cast(sum(case when coalesce(gone, false) then 1 else 0 end) as bigint) as n_dropped,
