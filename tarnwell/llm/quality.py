@@ -98,7 +98,7 @@ def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[
 
     Each labeller has its own distribution of votes for good and bad documents, within BOUNDS. Counts are smoothed by one.
     """
-    votes = np.array([_votes(int(c)) for c in codes]).reshape(-1, len(LABELLERS)) + 1
+    votes = np.array([_votes(int(c)) for c in codes], np.int64).reshape(-1, len(LABELLERS)) + 1
     k = votes.shape[1]
     low, high = (np.array([BOUNDS[v][i] for v in (-1, 0, 1)]) for i in (0, 1))
     ratio = np.tile((low + high) / 2, (k, 1))
