@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions import formats, paths, text
 from tarnwell.operators import catalog, containment, discovery, relational, search, suggest
 from tarnwell.operators.relational import Page
-from tarnwell.plans.catalogue import VIEWS, Catalogue
+from tarnwell.plans.registry import register
 from tarnwell.streaming import changes
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def register(sql: str | None, views: bool = True):
-    def add(f: Callable[[Catalogue], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Catalogue(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = (VIEWS if views else "") + sql
-        return f
-
-    return add
-
-
 COUNTED = """
 , counted as (
   select d.*, count(distinct a.id) as asset_count, count(distinct af.file_id) as file_count

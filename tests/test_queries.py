@@ -1,7 +1,8 @@
 import oracle
 import pytest
 
-from tarnwell.plans.queries import QUERIES, SQL
+from tarnwell.plans import enrichment, queries  # noqa: F401 - registers queries
+from tarnwell.plans.registry import QUERIES, SQL
 
 
 @pytest.fixture(scope="session")
@@ -9,7 +10,7 @@ def con(sf):
     return oracle.connection(sf)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, sf, con, name):
     assert oracle.spark_rows(QUERIES[name](spark, sf)) == oracle.sql_rows(con, SQL[name])
 
