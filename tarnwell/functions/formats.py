@@ -32,6 +32,13 @@ TYPES = {
 }
 # Leading bytes (hexadecimal) by type, tried in this order.
 MAGIC = (("42414D01", "BAM"), ("4352414D", "CRAM"), ("40484409", "SAM"), ("232366696C65666F726D61743D564346", "VCF"), ("89484446", "HDF5"), ("4844460D", "HDF5"))
+# Leading bytes of the second detector, tried in this order, and the extensions that it knows besides or instead.
+SECOND_MAGIC = (
+    ("42414D01", "BAM"), ("4352414D", "CRAM"), ("40484409", "SAM"), ("232366696C65666F726D61743D564346", "VCF"),
+    ("894844460D0A1A0A", "HDF5"), ("4844460D0A1A0A", "HDF5"), ("1F8B", "gzip"), ("425A68", "bzip2"), ("504B0304", "zip"),
+    ("89504E470D0A1A0A", "png"), ("934E554D5059", "npy"), ("52494646", "riff"),
+)
+SECOND_TYPES = {"FASTA": "frn", "HDF5": "loom", "zip": "zip", "YAML": "yaml yml", "RData": "rda"}
 TEXT = ("FASTQ", "FASTA", "SAM", "VCF", "GFF", "BED", "CSV", "TSV")
 # What each interpreter scores for a file.
 SCORES = {"fastq": 0.95, "bam": 0.90, "vcf": 0.90, "hdf5": 0.85, "annotation": 0.85, "generic": 0.5}
@@ -63,6 +70,23 @@ def detect(path: Column | str, magic: Column | None = None) -> Column:
     return out.otherwise(by_ext)
 
 
+def second_detect(path: Column | str, magic: Column) -> Column:
+    """struct(file_type, mime) of the detector for plugins, which sees 16 bytes and has no answer (null) for what it does not know."""
+    head = F.hex(F.substring(magic, 1, 16))
+    answer = lambda name, kind="application/octet-stream": F.struct((F.lit(name) if isinstance(name, str) else name).alias("file_type"), F.lit(kind).alias("mime"))
+    out = F
+    for code, name in SECOND_MAGIC:
+        out = out.when(head.startswith(code), answer(name))
+    out = out.when(head.startswith("3E"), answer("FASTA", "text/plain"))
+    out = out.when(head.rlike("^40(4844|5351|5247|5047)"), answer("SAM", "text/plain")).when(head.startswith("40"), answer("FASTQ", "text/plain"))
+    ext = F.lower(F.element_at(F.split(F.col(path) if isinstance(path, str) else path, r"\."), -1))
+    kind = F
+    for name, exts in SECOND_TYPES.items():
+        kind = kind.when(ext.isin(*exts.split()), name)
+    kind = kind.otherwise(type_of_extension(ext))
+    return out.when(kind != "unknown", answer(kind))
+
+
 def mime(file_type: Column) -> Column:
     return F.when(file_type.isin(*TEXT), "text/plain").when(file_type.startswith("gzip"), "application/gzip").when(file_type == "JSON", "application/json").otherwise("application/octet-stream")
 

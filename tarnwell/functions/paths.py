@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ COMPRESSIONS = ("gz", "bz2", "bz", "xz", "zst", "zstd")
 COMPOUNDS = ("fastq.gz", "fq.gz", "vcf.gz", "gff.gz", "tsv.gz", "csv.gz", "txt.gz", "tab.gz")
 NOISE = (".git", "node_modules", "__pycache__", ".DS_Store", "__MACOSX", ".idea", ".vscode", "target")
 GENERIC = ("data", "results", "analysis", "raw", "processed", "fastq", "bam", "vcf", "rnaseq", "chipseq", "src", "home", "tmp", "projects", "users", "", "/", ".")
+# Suffixes of the files that are shown first.
+KEY_SUFFIXES = "fastq.gz fq.gz fastq fasta fa.gz fa bam vcf.gz vcf gff3 gtf bed h5 hdf5".split()
+# Names of files that describe the files around them.
+METADATA_FILES = "design.csv design.tsv metadata.csv metadata.xlsx README.md readme.txt samples.csv samples.tsv config.yaml config.yml manifest.csv".split()
 # Accession prefixes and what they name.
 ACCESSIONS = (
     ("SRR|ERR|DRR", "SRA_run"),
@@ -120,7 +126,19 @@ def version_pattern(name: Column | str) -> Column:
 
 
 def trivial_version(name: Column | str) -> Column:
-    return _c(name).rlike("^v[0-9._]+$") | _c(name).startswith("obsolete") | (_c(name) == "")
+    low = F.lower(_c(name))
+    return low.rlike("^v[0-9._]+$") | low.startswith("obsolete") | (low == "")
+
+
+def key_file(name: Column | str) -> Column:
+    """Whether a file is of a kind that is shown first."""
+    return F.lower(_c(name)).rlike(r"\.(?:" + "|".join(KEY_SUFFIXES).replace(".", r"\.") + ")$")
+
+
+def dataset_name(path: Column | str, root: str) -> Column:
+    """The path below a root, which may be repeated, with underscores for slashes."""
+    rest = F.regexp_replace(_c(path), f"^(?:{re.escape(root)})+", "") if root else _c(path)
+    return F.regexp_replace(F.regexp_replace(rest, "^/+", ""), "/", "_")
 
 
 def server_path(server: Column | str, path: Column | str) -> Column:

@@ -52,3 +52,14 @@ def cosine(a: Column, b: Column) -> Column:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     size = norm(a) * norm(b)
     return F.when(size == 0, 0.0).otherwise(dot / size)
+
+
+def summary(*parts: Column | str) -> Column:
+    """The parts that are there, joined by commas."""
+    return F.concat_ws(", ", *parts)
+
+
+def truncated(c: Column | str, most: int) -> Column:
+    """At most ``most`` characters, the last three of them dots if something is cut off; no character is split."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, max(0, most - 3)), F.lit("...")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.functions.paths import ancestors, base_name, depth, extension, in_noise, is_bio, parent
+from tarnwell.functions.paths import METADATA_FILES, ancestors, base_name, depth, extension, in_noise, is_bio, key_file, parent, trivial_version
+from tarnwell.functions.text import truncated
 
 UNIFORM = 100
 
@@ -66,3 +67,50 @@ def skips(dirs: DataFrame, targets: DataFrame) -> DataFrame:
     up = dirs.select("path", F.explode(ancestors("path", itself=True)).alias("_up"))
     under = up.join(targets.select(F.col("path").alias("_up")), "_up", "left_semi").select("path").distinct()
     return dirs.join(under, "path", "left_anti")
+
+
+def targets(signal_rows: DataFrame, hinted: DataFrame | None = None) -> DataFrame:
+    """(path): directories with domain files of their own, and those that were hinted at."""
+    own = signal_rows.where("signal = 'Bio'").select("path")
+    return (own if hinted is None else own.union(hinted.select("path"))).distinct()
+
+
+def candidates(target_rows: DataFrame, hints: DataFrame) -> DataFrame:
+    """(path, dataset_type, confidence): the hints, and each target without one as "other" of low confidence."""
+    rest = target_rows.join(hints.select("path"), "path", "left_anti")
+    return hints.select("path", "dataset_type", "confidence").unionByName(rest.select("path", F.lit("other").alias("dataset_type"), F.lit("low").alias("confidence")))
+
+
+def ambiguous(files: DataFrame) -> DataFrame:
+    """(path, subdirs): containers of domain directories, unless all their subdirectories are bare versions or obsolete."""
+    box = signals(files, 1).where("signal = 'PropagatedBio'").select("path")
+    below = directories(files).select(parent("path").alias("path"), base_name("path").alias("sub")).groupBy("path")
+    below = below.agg(F.count(F.lit(1)).alias("subdirs"), F.count_if(~trivial_version("sub")).alias("_telling"))
+    return box.join(below.where("_telling > 0").drop("_telling"), "path")
+
+
+def children(rows: DataFrame) -> DataFrame:
+    """(parent, child): rows whose parent directory is a row too."""
+    return rows.select(F.col("path").alias("child"), parent("path").alias("parent")).join(rows.select(F.col("path").alias("parent")), "parent", "left_semi").select("parent", "child")
+
+
+def metadata_near(files: DataFrame) -> DataFrame:
+    """(dir, metadata_files): files with a describing name in each directory, then in its parent, in the names' order.
+
+    Directories are joined, not files: at most 22 names come to each.
+    """
+    names = F.array(*[F.lit(n) for n in METADATA_FILES])
+    named = files.select("path", parent("path").alias("at"), F.array_position(names, base_name("path")).alias("_n")).where("_n > 0")
+    dirs = files.select(parent("path").alias("dir")).distinct()
+    places = dirs.select("dir", F.posexplode(F.array(F.col("dir"), parent("dir"))).alias("_up", "at"))
+    found = places.join(named, "at").groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("_up", "_n", "path")))["path"].alias("metadata_files"))
+    return found
+
+
+def sample_display(files: DataFrame, others: int = 5, most: int = 120, samples: int = 8) -> DataFrame:
+    """(dir, shown) of each directory's first ``samples`` names: kinds that matter first, then up to ``others`` more, cut to ``most`` characters."""
+    w = Window.partitionBy("dir").orderBy("name")
+    some = with_dir(files).select("dir", "name", F.row_number().over(w).alias("_r")).where(F.col("_r") <= samples)
+    names = some.groupBy("dir").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    shown = F.concat(F.filter("names", key_file), F.slice(F.filter("names", lambda n: ~key_file(n)), 1, others))
+    return names.select("dir", truncated(F.array_join(shown, ", "), most).alias("shown"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.functions.text import cosine, tokens
+from tarnwell.functions.text import cosine, tokens, holds
 
 K1, B = 1.2, 0.75
 
@@ -104,3 +104,10 @@ def rerank(hits: DataFrame, vectors: DataFrame, query: list[float], k: int = 20)
     norm = F.col("score") / F.col("top")
     score = F.when(F.col("some"), 0.6 * norm + 0.4 * F.coalesce("cos", F.lit(0.0))).otherwise(norm)
     return both.select("doc_id", F.round(score, 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def weighted(files: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """(id, score): live files whose path (3), metadata (2) or format (1) holds the query but for ASCII case, weights added."""
+    part = lambda c, w: F.when(holds(c, query), w).otherwise(0)
+    rows = files.where("NOT deleted").select("id", (part("path", 3) + part("bio_metadata", 2) + part("format", 1)).alias("score"))
+    return rows.where("score > 0").orderBy(F.desc("score"), "id").limit(limit)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwell.functions import embed, paths, plugins
-from tarnwell.operators import inference, trees
+from tarnwell.functions import embed, formats, paths, plugins, text
+from tarnwell.operators import discovery, inference, search, trees
 from tarnwell.plans.catalogue import VIEWS
-from tarnwell.plans.queries import PARTS, UP
+from tarnwell.plans.queries import NESTED, PARTS, UP
 from tarnwell.plans.registry import register
 
 FOLDED = VIEWS.replace("with dataset", "with recursive dataset", 1) + """, c as (
@@ -143,3 +143,69 @@ def list_lines(c):
 def hash_embeddings(c):
     """Hashed embeddings of the metadata texts; no SQL has the hash, so tests compare it with the interpreter's own."""
     return embed.embed(embedding_text(c), "id", "text")
+
+
+@register("select id, replace(ltrim(path[4:], '/'), '/', '_') as name from dataset")
+def dataset_names(c):
+    return c.datasets.select("id", paths.dataset_name("path", "/ds").alias("name"))
+
+
+@register("select id, case when length(summary) <= 20 then summary else left(summary, 17) || '...' end as short, concat_ws(', ', species, case when confidence = 'high' then dataset_type end, name) as line from dataset")
+def result_lines(c):
+    line = text.summary("species", F.when(F.col("confidence") == "high", F.col("dataset_type")), "name")
+    return c.datasets.select("id", text.truncated("summary", 20).alias("short"), line.alias("line"))
+
+
+@register(PARTS + """, r as (select dir, name, row_number() over (partition by dir order by name) as r from extended),
+k as (select *, regexp_matches(name, '\.(fastq\.gz|bam|vcf\.gz|h5|gtf)$') as key from r where r <= 8), o as (select *, row_number() over (partition by dir, key order by name) as n from k),
+j as (select dir, string_agg(name, ', ' order by key desc, name) as s from o where key or n <= 5 group by dir)
+select dir, case when length(s) <= 60 then s else left(s, 57) || '...' end as shown from j""")
+def sample_display(c):
+    return discovery.sample_display(c.docs, most=60)
+
+
+@register(PARTS + """, b as (select dir as path, bool_or(ext in ('fastq.gz', 'bam', 'vcf.gz', 'h5', 'gtf', 'fq')) as bio from extended group by 1),
+t as (select path from b where bio union select '/data/' || lang from docs where lang in ('en', 'xx'))
+select path, case when path = '/data/en' then 'genome' else 'other' end as dataset_type, case when path = '/data/en' then 'high' else 'low' end as confidence from t""")
+def dataset_candidates(c):
+    hints = c.docs.where("lang = 'en'").select(F.lit("/data/en").alias("path"), F.lit("genome").alias("dataset_type"), F.lit("high").alias("confidence")).distinct()
+    return discovery.candidates(discovery.targets(discovery.signals(c.docs, 1), hints), hints)
+
+
+@register(PARTS + """, d as (select '/data/' || lang as path, dir, bool_or(ext in ('fastq.gz', 'bam', 'vcf.gz', 'h5', 'gtf', 'fq')) as bio from extended group by 1, 2)
+select path, count(*) as subdirs from d group by path having bool_or(bio)""")
+def ambiguous_containers(c):
+    return discovery.ambiguous(c.docs)
+
+
+@register(NESTED + "select a.path as parent, b.path as child from ds a join ds b on regexp_replace(b.path, '/[^/]*$', '') = a.path")
+def candidate_children(c):
+    return discovery.children(c.dirs_as_datasets)
+
+
+@register(""", d as (select distinct lang, source, '/data/' || lang || '/' || source as dir from docs)
+select dir, concat_ws('|', case when length(source) % 2 = 0 then dir || '/README.md' end, case when lang in ('en', 'de') then '/data/' || lang || '/design.csv' end, case when lang = 'en' then '/data/en/config.yml' end) as found from d
+where length(source) % 2 = 0 or lang in ('en', 'de') union all
+select '/data/' || lang, '/data/' || lang || '/design.csv' || case when lang = 'en' then '|/data/en/config.yml' else '' end from d where lang in ('en', 'de') group by lang""")
+def metadata_near(c):
+    top = F.concat(F.lit("/data/"), "lang")
+    low = c.docs.where(F.length("source") % 2 == 0).select(F.concat(top, F.lit("/"), "source", F.lit("/README.md")).alias("path"))
+    high = c.docs.where("lang IN ('en', 'de')").select(F.concat(top, F.lit("/design.csv")).alias("path"))
+    more = c.docs.where("lang = 'en'").select(F.lit("/data/en/config.yml").alias("path"))
+    found = discovery.metadata_near(c.docs.select("path").union(low).union(high).union(more).distinct())
+    return found.select("dir", F.array_join("metadata_files", "|").alias("found"))
+
+
+@register("""select id, score from (select id, case when contains(lower(path), 'd') then 3 else 0 end + case when contains(lower(bio_metadata), 'd') then 2 else 0 end + case when contains(format, 'd') then 1 else 0 end as score
+from files where not deleted) where score > 0 order by score desc, id limit 50""")
+def weighted_search(c):
+    return search.weighted(c.files, "D")
+
+
+@register("""select id, case id % 8 when 0 then 'FASTA' when 1 then 'FASTQ' when 2 then 'SAM' when 3 then 'png' when 4 then 'HDF5' when 5 then 'GFF' when 6 then 'FASTQ' end as file_type,
+case when id % 8 < 3 then 'text/plain' when id % 8 < 7 then 'application/octet-stream' end as mime from docs""")
+def second_detector(c):
+    kinds = ("3E63687231", "40726561", "40535109", "89504E470D0A1A0A", "", "", "", "00")
+    magic = F.unhex(F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("id") % 8 + 1).cast("int")))
+    path = F.regexp_replace("path", r"\.txt$", ".unknown")
+    return c.docs.select("id", formats.second_detect(path, magic).alias("f")).select("id", "f.file_type", "f.mime")
