@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.functions.text import cosine, tokens, holds
+from tarnwell.functions.text import cosine, holds, tokens
 
 K1, B = 1.2, 0.75
 

@@ -156,7 +156,7 @@ def result_lines(c):
     return c.datasets.select("id", text.truncated("summary", 20).alias("short"), line.alias("line"))
 
 
-@register(PARTS + """, r as (select dir, name, row_number() over (partition by dir order by name) as r from extended),
+@register(PARTS + r""", r as (select dir, name, row_number() over (partition by dir order by name) as r from extended),
 k as (select *, regexp_matches(name, '\.(fastq\.gz|bam|vcf\.gz|h5|gtf)$') as key from r where r <= 8), o as (select *, row_number() over (partition by dir, key order by name) as n from k),
 j as (select dir, string_agg(name, ', ' order by key desc, name) as s from o where key or n <= 5 group by dir)
 select dir, case when length(s) <= 60 then s else left(s, 57) || '...' end as shown from j""")
