@@ -198,6 +198,16 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 100 for i in range(101, 161)} | {7: 5, 9: 5}
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from tarnwell.llm import components as module
+
+    monkeypatch.setattr(module, "HOT_EDGES", 3)
+    rows = [(0, i) for i in range(1, 60)] + [(999, i) for i in range(400, 460)] + [(59, 500), (700, 701)]
+    got = dict(map(tuple, components(spark.createDataFrame(rows, "a long, b long")).collect()))
+    assert got == {i: 0 for i in [*range(1, 60), 500]} | {i: 400 for i in [*range(401, 460), 999]} | {701: 700}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # Nearest neighbours
 
 
