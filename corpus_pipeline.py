@@ -18,11 +18,6 @@ from tarnwell.llm.common import shared_folder
 ORACLE_SQL = None
 
 
-def _joined(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of docs with the decisions on their id; ids are few and narrow beside texts, and rows without id pair with none."""
-    return docs.join(decisions.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of")))
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier keeps."""
     return quality.filter_documents(docs)
@@ -30,22 +25,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line repeats; a document that loses all lines stays, with an empty text."""
-    out = linedup.dedup_lines(docs)
+    out = linedup.dedup_lines(docs, counts=False)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by five-word shingles."""
-    found = neardup.near_duplicates(docs, width=5)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_of")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_of"), "left_anti")
+    """One document of each group that is linked by five-word shingles. Rows of one id go by their own texts."""
+    found = neardup.near_duplicates(docs, width=5, text_hash=True)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text_hash"))
+    left = rows.join(gone, (F.col("id") == F.col("of")) & (F.col("text_hash") == F.col("hash")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those without words are taken once, as they cost nothing."""
-    taken = mixing.mix(docs).select("doc_id", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("_times")).dropDuplicates(["doc_id"])
-    both = _joined(docs, taken)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_times")))).where("_copy > 0").select(*docs.columns)
+    return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,16 +151,17 @@ def near_lines(classes: DataFrame, lines: DataFrame) -> DataFrame:
     return checked.groupBy("cls").agg(F.min("near").alias("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """All rows and columns of ``docs`` with repeated lines gone from the text, and ``n_lines``, ``n_dropped`` (long).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = True) -> DataFrame:
+    """All rows and columns of ``docs`` with repeated lines gone from the text, and with ``counts`` ``n_lines``, ``n_dropped`` (long).
 
     A line (between "\\n") goes if an earlier line is equal to it or within one edit (one character
     changed, added or missing), both normalised: lower case, no spaces at the ends. Earlier means
     a smaller id (null first), then a smaller line number. Lines under ``min_chars`` characters
     stay. A null text stays null with 0 lines, an empty one has 1 line. Rows that repeat an id and
-    a text count as one row and stay equal. Extra columns pass through; internal names are kept apart.
+    a text count as one row and stay equal. Extra columns pass through; internal names are kept apart. With ``counts`` the two new columns replace any
+    of their names; without, all columns stay as they are.
     """
-    own = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    own = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns if c != text_col]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     own = own.withColumn("uid", F.xxhash64("id", "text"))
     lines = lines_of(own.where("text IS NOT NULL"), min_chars).select("id", "uid", "no", "line", *digest(F.col("line")))
     halves = half_keys(F.col("line"))
@@ -179,7 +180,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    fields = [F.col("row")[c].alias(c) if c != text_col else text.alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    fields = [F.col("row")[c].alias(c) if c != text_col else text.alias(c) for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    if not counts:
+        return both.select(*fields)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
     return both.select(*fields, n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 

@@ -48,6 +48,14 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
     return t.withColumn("target", F.when(F.col("capped"), F.col("most")).otherwise(left * F.col("weight") / rest)).select("source", "source_size", "target")
 
 
+def _place(doc_id: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 64 - BITS * LEVELS)
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    return docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), _place(docs[id_col], seed).alias("place"))
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -67,15 +75,48 @@ def mix(
     rows that repeat an id are taken alike; an empty table gives an empty result. Reruns agree,
     as places depend on ids and ``seed`` alone.
     """
+    sized = durable(_sized(docs, id_col, text_col, source_col, seed))
+    plan = thresholds(sized, weights, share, cap)
+    both = join_small(sized.withColumnRenamed("source", "s"), plan, F.col("s").eqNullSafe(F.col("source")))
+    return both.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
+
+
+def take(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: int = 17,
+) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, as often as ``mix`` takes them.
+
+    Rows without words cost nothing and are taken once. Each row is decided by its own source, id and words
+    as it is read; only the plan, one row per source, is joined to it.
+    """
+    sized = durable(_sized(docs, id_col, text_col, source_col, seed))
+    plan = thresholds(sized, weights, share, cap).withColumnRenamed("source", "s")
+    rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), _place(docs[id_col], seed).alias("place"))
+    both = join_small(rows, plan, F.col("source").eqNullSafe(F.col("s")))
+    often = F.when(F.col("size") > 0, times()).otherwise(1).cast("int")
+    return both.select("row", F.explode(F.array_repeat(F.lit(0), often))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def times() -> Column:
+    """How often the mix takes a document, by its place and its source's row of the plan."""
+    extra = (F.col("place") < F.col("at")) | ((F.col("place") == F.col("at")) & F.col("whole"))
+    return F.col("passes") + extra.cast("long")
+
+
+def thresholds(sized: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """(source, source_size, target, passes, at, whole): whole passes over each source and where the last one ends.
+
+    Places below ``at`` are taken once more, the place ``at`` itself only if ``whole``.
+    """
     width = BITS * LEVELS
-    sized = durable(
-        docs.select(
-            docs[id_col].alias("id"),
-            docs[source_col].alias("source"),
-            word_count(docs[text_col]).alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs[id_col]), 64 - width).alias("place"),
-        )
-    )
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
     plan = plan.withColumn("passes", passes).withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
@@ -97,7 +138,4 @@ def mix(
                 F.coalesce("edge.words", F.lit(0).cast("long")).alias("held"),
             )
         )
-    plan = plan.withColumn("whole", F.col("left") * 2 > F.col("held"))
-    both = join_small(sized.withColumnRenamed("source", "s"), plan, F.col("s").eqNullSafe(F.col("source")), rows=n)
-    extra = (F.col("place") < F.col("at")) | ((F.col("place") == F.col("at")) & F.col("whole"))
-    return both.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("passes") + extra.cast("long"))).alias("taken"))
+    return plan.withColumn("whole", F.col("left") * 2 > F.col("held"))

@@ -207,9 +207,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     return rows.mapInArrow(run, f"_id {kind}, votes string, posterior double, score double, keep boolean").withColumnRenamed("_id", id_col)
 
 
-def filter_documents(docs: DataFrame, text_col: str = "text", keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
+def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier keeps; it filters as it reads, without a join."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, docs.columns[0], text_col, sample))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, sample))
     at = docs.columns.index(text_col)
 
     def run(batches):

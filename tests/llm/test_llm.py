@@ -384,3 +384,48 @@ def test_pipeline(spark, sf):
         if name in ("quality", "near_dedup"):
             assert out.count() == out.distinct().count() < docs.count() or name == "near_dedup"
     assert corpus_pipeline.run(spark, sf).where("offset + length > 1024").count() == 0
+
+
+STAGE_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, of long, hash long, id long, row string, size long, n_lines long, kept boolean, text_hash long, place long, at long"
+
+
+def test_stages_stand_odd_rows_and_clashing_names(spark):
+    """Nulls, empty and long texts, repeated rows, one id with two texts, names that the stages use inside."""
+    import corpus_pipeline
+
+    words = [" ".join(f"{c}{i} reads" for i in range(40)) for c in "abc"]
+    texts = [None, "", "  ", "one", words[0], words[0], words[1], "word " * 30_000, words[0] + " end"]
+    row = lambda i, t: (i, t, None, None if i == 4 else "s", None, 1, 2, 3, "r", 4, 5, False, 6, 7, 8)
+    rows = [row(i, t) for i, t in enumerate(texts)] + [row(None, words[2]), row(None, None), row(6, words[1]), row(5, words[2] + " more of it")]
+    docs = spark.createDataFrame(rows, STAGE_COLUMNS)
+    key = lambda r: tuple(r[5:])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "").collect()
+        assert list(got[0].__fields__) == docs.columns and {key(r) for r in got} == {key(rows[0])}
+        if name == "near_dedup":
+            ids = collections.Counter(r.doc_id for r in got)
+            assert ids[4] == 1 and ids[8] == 0 and ids[6] == 2 and ids[None] == 2
+            # Id 5 goes with its copy of document 4 only.
+            assert [r.text for r in got if r.doc_id == 5] in ([], [words[2] + " more of it"])
+            assert all(ids[i] == 1 for i in (0, 1, 2, 3, 7))
+        elif name != "mix":
+            assert len(got) == len(rows) or name == "quality"
+        assert stage(spark, docs.limit(0), "").count() == 0
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert stage(spark, docs, "").where("piece = 0").count() == len(rows) and stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_take_repeats_rows_as_the_mix_says(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" * rng.randint(0, 30)), rng.choice(["a", "a", "b", None]), i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, taken long")
+    want = {r.doc_id: r.taken // r.size if r.size else 1 for r in mixing.mix(docs).collect()}
+    got = mixing.take(docs)
+    assert got.columns == docs.columns
+    assert collections.Counter(tuple(r) for r in got.collect()) == +collections.Counter({r: want[r[0]] for r in rows})
+
+
+def test_line_counts_are_optional(spark):
+    docs = spark.createDataFrame([(1, "A line that is long enough.\nA line that is long enough.", 9)], "doc_id long, text string, n_lines long")
+    assert linedup.dedup_lines(docs).first().asDict() == {"doc_id": 1, "text": "A line that is long enough.", "n_lines": 2, "n_dropped": 1}
+    assert linedup.dedup_lines(docs, counts=False).first().asDict() == {"doc_id": 1, "text": "A line that is long enough.", "n_lines": 9}
