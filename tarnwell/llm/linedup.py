@@ -7,6 +7,10 @@ keys, and lines that share none with another line cannot share a finer one eithe
 blocks that survive get all their single-character variants. Nothing is lost on the way: the
 one edit lies in some block, and all else is equal.
 
+Every line with something in it takes part. Short ones go only if they are equal to an earlier one, by
+their class alone, as one character makes another word or number of them; the variants are for lines
+of ``NEAR_CHARS`` characters or more.
+
 Equal lines are first reduced to one class, so a variant group holds only different lines, at most
 one per character of the alphabet and position. In a group each line is compared with the earliest
 member only: lines with the same character deleted at the same place are all within one edit of
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import Rolling, durable, join_small, mix64
 
-MIN_CHARS = 20
+MIN_CHARS = 1
+NEAR_CHARS = 10
 BLOCKS = 16
 
 
@@ -32,9 +37,9 @@ def normal(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, uid, no, line) of the lines that take part: ``min_chars`` characters or more once normalised."""
+    """(id, uid, no, line) of the lines that take part: not blank, and ``min_chars`` characters or more once normalised."""
     lines = docs.select("id", "uid", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    return lines.select("id", "uid", "no", normal(F.col("raw")).alias("line")).where(F.length("line") >= min_chars)
+    return lines.select("id", "uid", "no", normal(F.col("raw")).alias("line")).where((F.length("line") >= min_chars) & F.col("line").rlike(r"\S"))
 
 
 def digest(line: Column) -> list[Column]:
@@ -151,21 +156,21 @@ def near_lines(classes: DataFrame, lines: DataFrame) -> DataFrame:
     return checked.groupBy("cls").agg(F.min("near").alias("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = True, near_chars: int = NEAR_CHARS) -> DataFrame:
     """All rows and columns of ``docs`` with repeated lines gone from the text, and with ``counts`` ``n_lines``, ``n_dropped`` (long).
 
-    A line (between "\\n") goes if an earlier line is equal to it or within one edit (one character
-    changed, added or missing), both normalised: lower case, no spaces at the ends. Earlier means
-    a smaller id (null first), then a smaller line number. Lines under ``min_chars`` characters
-    stay. A null text stays null with 0 lines, an empty one has 1 line. Rows that repeat an id and
+    A line (between "\\n") goes if an earlier line is equal to it or, where both have ``near_chars`` characters
+    or more, within one edit (one character changed, added or missing), both normalised: lower case, no spaces
+    at the ends. Earlier means a smaller id (null first), then a smaller line number. Blank lines, and lines
+    under ``min_chars`` characters, stay. A null text stays null with 0 lines, an empty one has 1 line. Rows that repeat an id and
     a text count as one row and stay equal. Extra columns pass through; internal names are kept apart. With ``counts`` the two new columns replace any
     of their names; without, all columns stay as they are.
     """
     own = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns if c != text_col]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     own = own.withColumn("uid", F.xxhash64("id", "text"))
     lines = lines_of(own.where("text IS NOT NULL"), min_chars).select("id", "uid", "no", "line", *digest(F.col("line")))
-    halves = half_keys(F.col("line"))
-    # The length and halves depend on the line alone, so any row of the class gives them.
+    halves = F.when(F.length("line") >= near_chars, half_keys(F.col("line")))
+    # The length and halves depend on the line alone, so any row of the class gives them; short lines have none.
     found = lines.withColumn("halves", halves).groupBy("d1", "d2").agg(F.min(F.struct("id", "uid", "no")).alias("at"), F.count(F.lit(1)).alias("n"), *[F.max(F.get("halves", F.lit(i))).alias(f"h{i}") for i in range(4)])
     classes = found.select("d1", "d2", "at.id", "at.uid", "at.no", "n", F.array_compact(F.array("h0", "h1", "h2", "h3")).alias("halves"))
     classes = durable(number(classes))

@@ -152,6 +152,24 @@ def test_line_dedup_against_all_pairs(spark):
         assert got[d] == "\n".join(want)
 
 
+def test_short_repeated_lines_go(spark):
+    """Equal lines of any length go; near ones only from NEAR_CHARS on; blank lines stay."""
+    docs = [(1, "Menu\n\nA\npage 1\n \t"), (2, " menu\n\nb\npage 2\n \t"), (3, "MENU \nB\na\nPage 1\n\r\nnew"), (4, "x\nx")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in linedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (docs[0][1], 5, 0), 2: ("\nb\npage 2\n \t", 5, 1), 3: ("\r\nnew", 6, 4), 4: ("x", 2, 1)}
+
+
+def test_op3_matches_whole_sql(spark, sf):
+    """The registered query against its SQL without the least length of equal lines, and near ones from 10 characters."""
+    import oracle
+    from tarnwell.llm import queries
+
+    sql = queries.LINE_DEDUP_SQL.replace("big as (select * from lines where length(n) >= 20)", "big as (select * from lines where n <> '')")
+    sql = sql.replace("where abs(length(a.n)", "where length(a.n) >= 10 and length(b.n) >= 10 and abs(length(a.n)").replace("length(l.n) >= 20 and (x.n", "l.n <> '' and (x.n")
+    assert sql.count(">= 10") == 2 and ">= 20" not in sql
+    assert oracle.spark_rows(queries.op3_line_dedup(spark, sf)) == oracle.sql_rows(oracle.connection(sf), sql)
+
+
 # Near duplicates
 
 
