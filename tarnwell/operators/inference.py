@@ -125,6 +125,12 @@ def parse_projects(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return projects, s.select("key", "pos", a.alias("project_a"), b.alias("project_b"), name.alias("relation"), score.alias("score"))
 
 
+def tails(col: str, mark: str) -> Column:
+    """What follows each ``mark`` in a text, to its end."""
+    parts = F.slice(F.split(col, mark), 2, F.greatest(F.size(F.split(col, mark)) - 1, F.lit(0)))
+    return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), mark))
+
+
 def parse_datasets(responses: DataFrame, members: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Datasets, asset links and file metadata that (batch, response) rows name.
 
@@ -135,15 +141,20 @@ def parse_datasets(responses: DataFrame, members: DataFrame, files: DataFrame) -
     """
     d = responses.select("batch", F.from_json("response", DATASETS)["datasets"].alias("ds")).select("batch", F.posexplode("ds").alias("d", "s"))
     d = d.select("batch", "d", F.coalesce("s.name", F.lit("unnamed")).alias("said"), F.coalesce("s.type", F.lit("other")).alias("dataset_type"), F.when(F.col("s.species") != "null", F.col("s.species")).alias("species"), "s.assets")
-    m = members.select("batch", F.struct("pos", "name", "path").alias("m"))
-    hit = (F.col("m.name") == F.col("said")) | F.col("m.path").endswith(F.concat(F.lit("/"), "said")) | F.col("m.name").endswith(F.concat(F.lit("_"), "said"))
-    first = d.select("batch", "d", "said").join(m, "batch").where(hit).groupBy("batch", "d").agg(F.min("m").alias("m"))
+    # All names that a member answers to, so that said ones meet them by equality.
+    names = F.array_compact(F.concat(F.array("name"), F.coalesce(tails("path", "/"), F.array()), F.coalesce(tails("name", "_"), F.array())))
+    m = members.select("batch", F.explode(F.array_distinct(names)).alias("said"), F.struct("pos", "name", "path").alias("m"))
+    m = m.groupBy("batch", "said").agg(F.min("m").alias("m"))
+    first = d.select("batch", "d", "said").join(m, ["batch", "said"]).select("batch", "d", "m")
     named = d.join(first, ["batch", "d"])
     datasets = named.select(F.col("m.path").alias("path"), F.col("said").alias("name"), "dataset_type", "species", F.lit("high").alias("confidence"))
     a = named.select("batch", "d", F.col("m.path").alias("path"), "dataset_type", "species", F.posexplode("assets").alias("pos", "asset"))
     f = a.select("batch", "d", "path", "dataset_type", "species", "pos", F.col("asset.name").alias("asset"), F.col("asset.type").alias("asset_type"), F.posexplode("asset.files").alias("f", "file"))
     f = f.withColumn("said", F.coalesce("file.path", F.lit("")))
-    found = f.join(files, "path").where(F.col("file_path").endswith(F.col("said"))).groupBy("batch", "d", "pos", "f").agg(F.min("file_id").alias("file_id"))
+    # Paths are cut to the lengths of the names that their dataset is asked for, and meet them by equality.
+    ends = f.select("path", F.length("said").alias("n")).distinct().join(files, "path").select("path", F.right("file_path", F.col("n")).alias("said"), "file_id")
+    ends = ends.groupBy("path", "said").agg(F.min("file_id").alias("file_id"))
+    found = f.join(ends, ["path", "said"]).select("batch", "d", "pos", "f", "file_id")
     links = f.join(found, ["batch", "d", "pos", "f"]).select("path", "asset", "asset_type", "pos", "file_id", F.col("file.role").alias("role"), "dataset_type", "species")
     told = links.where((F.col("dataset_type") != "other") | F.col("species").isNotNull()).select("file_id", F.col("dataset_type").alias("assay_type"), "species").distinct()
     return datasets, links.drop("dataset_type", "species"), told

@@ -101,6 +101,24 @@ def test_parse_datasets(spark):
     assert [tuple(r) for r in told.collect()] == [(7, "genome", None)]
 
 
+def test_parse_datasets_by_any_name_and_end(spark):
+    """Names with separators, an empty one, and ends of different lengths, against the rule on all pairs."""
+    members = [(b, i, n, p) for b in (0, 1) for i, (n, p) in enumerate([("a_b_c", "/x/a/b"), ("c", "/x/c/"), ("b_c", "/y/a/b"), (None, "/z/b_c"), ("d", None), ("_", "/q")])]
+    files = [(p, 10 * k + i, f"{p}/{n}") for k, p in enumerate(["/x/a/b", "/x/c/", "/y/a/b", "/z/b_c"]) for i, n in enumerate(["s1", "s11", "t/s1", "é1"])]
+    said = ["c", "b_c", "a/b", "b", "", "d", "x/a/b", "_c", "none", "a_b_c"]
+    ends = ["1", "s1", "", "t/s1", "é1", "/s11", "zz"]
+    answer = json.dumps({"datasets": [{"name": n, "assets": [{"name": "g", "files": [{"path": e} for e in ends]}]} for n in said]})
+    _, links, _ = inference.parse_datasets(
+        spark.createDataFrame([(0, answer), (1, answer)], "batch long, response string"), spark.createDataFrame(members, "batch long, pos int, name string, path string"),
+        spark.createDataFrame(files, "path string, file_id long, file_path string"),
+    )
+    want = []
+    for n in said * 2:
+        hit = next((p for _, _, m, p in members if m == n or p is not None and p.endswith("/" + n) or m is not None and m.endswith("_" + n)), None)
+        want += [(hit, i) for e in ends for i in [min((i for p, i, f in files if p == hit and f.endswith(e)), default=None)] if i is not None]
+    assert sorted((r.path, r.file_id) for r in links.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize(("answer", "species"), [("- Oryza sativa", "Oryza sativa"), ("note\nZea mays L", "Zea mays L"), ("rice", None), ("水稻 Oryza", None), ("", None), ("a b c d", None)])
 def test_clean_species(spark, answer, species):
     assert spark.range(1).select(inference.clean_species(F.lit(answer))).first()[0] == species

@@ -15,6 +15,12 @@ def test_query_matches_sql(spark, sf, con, name):
     assert oracle.spark_rows(QUERIES[name](spark, sf)) == oracle.sql_rows(con, SQL[name])
 
 
+def test_answer_links_of_all_datasets(spark, sf, con):
+    whole = SQL["answer_links"].replace("d.id % 50 = 0 and ", "")
+    assert whole != SQL["answer_links"]
+    assert oracle.spark_rows(QUERIES["answer_links"](spark, sf)) == oracle.sql_rows(con, whole)
+
+
 def test_entry(spark):
     import __spark_entry__
 
