@@ -4,8 +4,8 @@ E-mail addresses, telephone, card and national identity numbers and IP addresses
 permutation of all strings of the same format (a Feistel network over the format's numbering, walked
 until the result is valid): letters stay letters, digits stay digits, card numbers keep their issuer
 digit and checksum. Permutations are one to one, so different originals never meet, and an original is
-replaced alike in every document. Names after a title, and given names of a list, get names of the same gender and script
-from a pool by keyed hash; as a pool is finite, a check over all documents finds originals that share a
+replaced alike in every document. Names after a title, and given names of a list with the family name after them, get names
+of the same gender and script from a pool by keyed hash, and so do bare repeats of them in the same document; as a pool is finite, a check over all documents finds originals that share a
 replacement, and all but the first move on to another until all differ.
 """
 
@@ -29,7 +29,7 @@ EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]*[\w+-]@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)", re.A)
 CARD = re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?![\w]|-\d)", re.A)
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
-PHONE = re.compile(r"(?<![\w+.-])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4})(?![\w-])", re.A)
+PHONE = re.compile(r"(?<![\w+.-])(?:(?:(?:\+\d{1,3}|[01])[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:[01][ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4})(?![\w-])", re.A)
 
 #: Titles by gender; a capitalised word or two must follow.
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Señora": "f", "Dr": "u", "Prof": "u", "г-н": "m", "г-жа": "f"}
@@ -48,6 +48,11 @@ POOLS = {
     ("Greek", "family"): "Αγγέλου Βλάχος Γεωργίου Δήμου Ιωάννου Κανελλής Λάμπρου Μαρίνος Νικολάου Παππάς".split(),
 }
 GENDERS = {name.casefold(): g for (_, g), names in POOLS.items() if g in "mf" for name in names} | dict.fromkeys("john james william peter michael david".split(), "m") | dict.fromkeys("mary elizabeth susan linda sarah jane".split(), "f")
+#: Listed given names, or one and initials, with a family name after them.
+GIVEN = [n.title() for n in GENDERS] + [n for (_, g), names in POOLS.items() if g in "mf" for n in names]
+LISTED = "|".join(sorted({form for n in GIVEN for form in (n, n.upper())}, key=len, reverse=True))
+FULL = re.compile(rf"(?<!\w)((?:{LISTED})(?:[ \xa0](?:{LISTED}|[^\W\d_]\.))*)[ \xa0]([^\W\d_]+)")
+WORD = re.compile(r"[^\W\d_]{2,}")
 
 
 class Entity(NamedTuple):
@@ -95,11 +100,35 @@ def find(text: str | None) -> list[Entity]:
                 found.append(Entity("family", *m.span(5), f"{script(last)}.family"))
             else:
                 found.append(Entity("family", *m.span(3), f"{script(first)}.family"))
-    out: list[Entity] = []
-    for e in sorted(found, key=lambda e: (KINDS.index(e.kind), e.start)):
-        if all(e.end <= o.start or o.end <= e.start for o in out):
-            out.append(e)
-    return sorted(out, key=lambda e: e.start)
+    for m in FULL.finditer(text):
+        if m[2][0].isupper() and script(m[2]):
+            found += [Entity("given", m.start() + g.start(), m.start() + g.end(), f"{script(g[0])}.{GENDERS[g[0].casefold()]}") for g in WORD.finditer(m[1])]
+            found.append(Entity("family", *m.span(2), f"{script(m[2])}.family"))
+    if not found:
+        return []
+    taken = bytearray(len(text))
+
+    def free(entities: list[Entity]) -> list[Entity]:
+        out = []
+        for e in entities:
+            if not any(taken[e.start : e.end]):
+                taken[e.start : e.end] = b"1" * (e.end - e.start)
+                out.append(e)
+        return out
+
+    out = free(sorted(found, key=lambda e: (KINDS.index(e.kind), e.start)))
+    return sorted(out + free(repeats(text, out)), key=lambda e: e.start)
+
+
+def repeats(text: str, found: list[Entity]) -> list[Entity]:
+    """Capitalised words that equal a found name but for case; a word found as several names counts as the first."""
+    names: dict[str, Entity] = {}
+    for e in sorted((e for e in found if e.group), key=lambda e: e.start):
+        names.setdefault(text[e.start : e.end].casefold(), e)
+    if not names:
+        return []
+    words = ((m, names.get(m[0].casefold())) for m in re.finditer(r"(?<!\w)[^\W\d_]+(?!\w)", text) if m[0][0].isupper())
+    return [Entity(e.kind, *m.span(), e.group) for m, e in words if e]
 
 
 class Permutation:
@@ -215,6 +244,8 @@ def surrogate(key: bytes, kind: str, value: str, group: str = "", attempt: int =
     if kind == "phone" and value.startswith("+"):
         code = re.match(r"\+\d{1,3}(?=\D)|\+\d", value)[0]
         return code + reshape(key, f"phone{code}", value[len(code) :])
+    if kind == "phone" and (trunk := re.match(r"[01](?=[ .(-])", value)):
+        return trunk[0] + reshape(key, f"phone trunk {trunk[0]}", value[1:])
     if group:
         return pick_name(key, value, group, attempt)
     return reshape(key, kind, value)

@@ -389,6 +389,26 @@ def test_names_stay_distinct_and_coreferent(spark):
     assert got[99].text is None and got[100].text == rows[-1][1]
 
 
+@pytest.mark.parametrize("value", ["555 123 4567", "1-800-555-1234", "1 800 555 1234", "1 (800) 555-1234", "0 555 123 4567"])
+def test_phones_with_spaces_and_trunk_digit(value):
+    (e,) = surrogates.find(f"Call {value}, now")
+    assert (e.kind, e.end - e.start) == ("phone", len(value))
+    new = surrogates.surrogate(KEY, e.kind, value)
+    assert new != value and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", value) and (len(value) == 12 or new[0] == value[0])
+    assert [x.kind for x in surrogates.find(f"Call {new}, now")] == ["phone"]
+
+
+def test_untitled_names_and_bare_repeats(spark):
+    texts = ["John Smith wrote. Later Smith's friend Mary J. Roe met JOHN and Roe.", "Then Mr John Smith came; Smith left, the smith stayed.", "Smith and John alone, and john doe.", "Anna Maria Jones.", "Βασίλης Λάμπρου."]
+    got = [r.text for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    john, smith, again, mary, roe, upper, roe2 = re.fullmatch(r"(\S+) (\S+) wrote\. Later (\S+)'s friend (\S+) J\. (\S+) met (\S+) and (\S+)\.", got[0]).groups()
+    assert smith == again and roe == roe2 and upper == john.upper() and not {john, smith, mary, roe} & {"John", "Smith", "Mary", "Roe"}
+    assert john in surrogates.POOLS["Latin", "m"] and mary in surrogates.POOLS["Latin", "f"]
+    assert got[1] == f"Then Mr {john} {smith} came; {smith} left, the smith stayed." and got[2] == texts[2]
+    assert not re.search("Anna|Maria|Jones", got[3]) and len(got[3].split()) == 3
+    assert not re.search("Βασίλης|Λάμπρου", got[4])
+
+
 # Pipeline
 
 
