@@ -17,7 +17,7 @@ def _mark(edges: DataFrame) -> tuple:
 HOT_EDGES, HOT_NODES = 1000, 50_000
 
 
-def _with_value(edges: DataFrame, values: DataFrame, hot: int) -> DataFrame:
+def with_value(edges: DataFrame, values: DataFrame, hot: int) -> DataFrame:
     """(a, b, m): each edge with the value of its node a. ``values`` has node, m and n, the node's edges.
 
     Edges of nodes with more than ``hot`` edges stay where they are and meet their few values by broadcast;
@@ -28,6 +28,11 @@ def _with_value(edges: DataFrame, values: DataFrame, hot: int) -> DataFrame:
     return edges.join(many, F.col("a") == F.col("node")).select("a", "b", "m").union(rest.select("a", "b", "m"))
 
 
+def hot_from(n: int) -> int:
+    """From how many edges a node of a graph with n edges is hot."""
+    return max(HOT_EDGES, 2 * n // HOT_NODES)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node of its component, for each node of an edge but the roots themselves.
 
@@ -39,12 +44,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _mark(now)
     values = [F.min("b").alias("m"), F.count(F.lit(1)).alias("n")]
     while True:
-        hot = max(HOT_EDGES, 2 * mark[0] // HOT_NODES)
+        hot = hot_from(mark[0])
         both = now.union(now.select("b", "a"))
         least = both.groupBy(F.col("a").alias("node")).agg(*values).withColumn("m", F.least("m", "node"))
-        large = _with_value(both, least, hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_value(both, least, hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy(F.col("a").alias("node")).agg(*values)
-        small = _with_value(large, low, hot).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = with_value(large, low, hot).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = durable(small.union(low.select("node", "m")).where("a > b").distinct())
         before, mark = mark, _mark(now)
         if mark == before:

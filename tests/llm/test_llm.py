@@ -210,6 +210,79 @@ def test_large_groups_are_split_and_whole(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def linked(docs, width=4):
+    """Component ids by brute force, per row: classes of equal texts, the smallest id reachable."""
+    sets = []
+    for _, t in docs:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    best = [d for d, _ in docs]
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(docs)):
+            for b in range(len(docs)):
+                if best[a] < best[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    best[b], changed = best[a], True
+    return best
+
+
+def test_rows_of_one_id_keep_their_own_links(spark):
+    """(5, A) and (5, B): what is near to either is in component 5."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = [(5, a), (5, b), (7, a + " x"), (8, b + " y"), (5, a)]
+    for rows in (docs, docs[::-1]):
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True)] * 3 + [(7, 5, False), (8, 5, False)]
+
+
+def test_crowded_orders_lose_nothing(spark, monkeypatch):
+    """Many families share most of their text, so the runs of all orders are far larger than a region; recall is counted."""
+    monkeypatch.setattr(neardup, "REGION", 12)
+    monkeypatch.setattr(neardup, "GROUP", 16)
+    rng = random.Random(21)
+    shared = [f"common{i}" for i in range(45)]
+    docs = []
+    for f in range(60):
+        own = [f"f{f}w{i}" for i in range(35)]
+        for _ in range(rng.choice([1, 2, 3])):
+            w = shared + own
+            w[rng.randrange(len(w))] = f"new{len(docs)}"
+            docs.append((rng.randrange(10**6), " ".join(w + [f"tail{len(docs)}"] * rng.randint(0, 3))))
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = {d: c for (d, _), c in zip(docs, linked(docs))}
+    wrong = sum(want[r.doc_id] != r.component_id for r in got)
+    assert len(set(want.values())) > 50 and wrong == 0
+
+
+def test_runs_cross_partitions(spark, monkeypatch):
+    """Regions are the same however the orders are cut into partitions."""
+    monkeypatch.setattr(neardup, "REGION", 6)
+    rng = np.random.default_rng(22)
+    base = rng.integers(0, 1 << 16, (3, 128)).astype(">u2")
+    sigs = base[rng.integers(0, 3, 40)]
+    sigs[rng.random(sigs.shape) < 0.2] = 7
+    rows = [(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)]
+    classes = spark.createDataFrame(rows, "rep long, sig binary")
+    got = {}
+    for n in (1, 3, 17):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got[n] = sorted(map(tuple, neardup.place(classes, 0).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got[1] == got[3] == got[17]
+    want = []
+    for t in range(16):
+        part = sigs[:, 8 * t : 8 * t + 8].tolist()
+        for i, v in enumerate(part):
+            run = [sum(x[:d] == v[:d] for x in part) for d in range(9)]
+            d = next(d for d in range(3, 9) if run[d] <= 6 or d == 8)
+            if run[d] > 1 or d > 3:
+                want.append((i, run[d], d))
+    assert sorted((r[0], r[2], r[3]) for r in got[1]) == sorted(want)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 7)], "a long, b long")
     got = dict(map(tuple, components(edges).collect()))
