@@ -85,13 +85,23 @@ def _vectors(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+def in_order(terms: np.ndarray) -> np.ndarray:
+    """Sums of rows from the first component to the last, so that a score is the same wherever it is computed."""
+    return np.add.accumulate(terms, axis=1)[:, -1]
+
+
+def units(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Unit vectors for the index; an odd number of components gets a zero more."""
+    return np.pad(vectors / norms[:, None], ((0, 0), (0, -vectors.shape[1] % SUB)))
+
+
 class Block:
     """The index of one block of vectors: codes, and originals for exact scores."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, books: np.ndarray, weight: float) -> None:
         self.ids, self.vectors, self.books = ids, vectors, books
-        self.norms = np.sqrt((vectors * vectors).sum(1))
-        codes, self.error = assign(vectors / self.norms[:, None], books, weight)
+        self.norms = np.sqrt(in_order(vectors * vectors))
+        codes, self.error = assign(units(vectors, self.norms), books, weight)
         if codes.shape[1] % 2:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         self.packed = np.ascontiguousarray((codes[:, ::2] | codes[:, 1::2] << 4).T)
@@ -107,12 +117,12 @@ class Block:
         return out
 
     def exact(self, which: np.ndarray, query: np.ndarray, norm: float) -> np.ndarray:
-        return (self.vectors[which] * query).sum(1) / (self.norms[which] * norm)
+        return in_order(self.vectors[which] * query) / (self.norms[which] * norm)
 
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k nearest in the block but the query's own row, ties to smaller ids."""
-        norm = np.sqrt((query * query).sum())
-        estimate = self.estimate(query / norm)
+        norm = np.sqrt(in_order((query * query)[None])[0])
+        estimate = self.estimate(units(query[None], np.array([norm]))[0])
         n = len(estimate)
         few = np.argpartition(-estimate, FIRST)[:FIRST] if n > FIRST else np.arange(n)
         few = few[self.ids[few] != own]

@@ -19,19 +19,30 @@ REMEMBER = 500_000
 END_OF_TEXT = "<|endoftext|>"
 
 
+#: White space without a break from which a text goes to the library of the JSON file: the other one's pattern runs out of
+#: stack near a million such characters.
+LONG_SPACE = re.compile(r"\s{65536}")
+
+
 class ByteBpe:
     """Ids of byte-level BPE as an array of unsigned 32-bit numbers, as the library of the JSON file gives them.
 
-    The ranks file holds the same vocabulary; its encoder is several times faster and gives the same ids. The
+    The ranks file holds the same vocabulary; its encoder is several times faster and gives the same ids. Texts with very
+    long runs of white space, which it cannot split, are encoded by the JSON file's library. The
     special string in a text is its own token, as is the library's default.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, special: str = END_OF_TEXT) -> None:
+    def __init__(self, path: str, ranks_path: str, pattern: str, special: str = END_OF_TEXT) -> None:
+        self.path, self.tokenizer = path, None
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={special: len(ranks)})
 
     def ids(self, text: str) -> np.ndarray:
+        if len(text) >= 65536 and LONG_SPACE.search(text):
+            if self.tokenizer is None:
+                self.tokenizer = Tokenizer.from_file(self.path)
+            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         return self.encoding.encode_to_numpy(text, allowed_special="all")
 
 

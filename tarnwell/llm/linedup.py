@@ -156,7 +156,7 @@ def near_lines(classes: DataFrame, lines: DataFrame) -> DataFrame:
     return checked.groupBy("cls").agg(F.min("near").alias("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = True, near_chars: int = NEAR_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: bool = True, near_chars: int = NEAR_CHARS, edits: int = 1, keep_emptied: bool = True) -> DataFrame:
     """All rows and columns of ``docs`` with repeated lines gone from the text, and with ``counts`` ``n_lines``, ``n_dropped`` (long).
 
     A line (between "\\n") goes if an earlier line is equal to it or, where both have ``near_chars`` characters
@@ -164,8 +164,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at the ends. Earlier means a smaller id (null first), then a smaller line number. Blank lines, and lines
     under ``min_chars`` characters, stay. A null text stays null with 0 lines, an empty one has 1 line. Rows that repeat an id and
     a text count as one row and stay equal. Extra columns pass through; internal names are kept apart. With ``counts`` the two new columns replace any
-    of their names; without, all columns stay as they are.
+    of their names; without, all columns stay as they are. Without ``keep_emptied``, rows that lose all lines but blank ones
+    go; blank texts stay. An empty table gives an empty result. ``edits`` must be 1: the keys are made for one edit, and other bounds are refused.
     """
+    if edits != 1:
+        raise ValueError("lines are compared within one edit")
     own = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns if c != text_col]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     own = own.withColumn("uid", F.xxhash64("id", "text"))
     lines = lines_of(own.where("text IS NOT NULL"), min_chars).select("id", "uid", "no", "line", *digest(F.col("line")))
@@ -185,6 +188,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    if not keep_emptied:
+        both = both.where(F.col("gone").isNull() | kept.rlike(r"\S"))
     fields = [F.col("row")[c].alias(c) if c != text_col else text.alias(c) for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     if not counts:
         return both.select(*fields)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.bpe import ByteBpe
-from tarnwell.llm.common import durable, groups
+from tarnwell.llm.common import durable, groups, rows_of
 
 GROUP = 50_000
 TOKENS, DOCUMENTS = 1024, 1024
@@ -75,12 +75,11 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
     return bins, offsets
 
 
-def _pieces(ranks_path: str, pattern: str, end_id: int, tokens: int):
+def _pieces(path: str, ranks_path: str, pattern: str, end_id: int, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(ranks_path, pattern)
+        bpe = ByteBpe(path, ranks_path, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in rows_of(batch):
                 row, piece, start, length, crc = [], [], [], [], []
                 for r, text in enumerate(part.column(1).to_pylist()):
                     ids = np.append(bpe.ids(text or ""), np.uint32(end_id)).astype("<u4", copy=False)
@@ -112,6 +111,7 @@ def _pack(capacity, weights, score):
 
 def pack(
     docs: DataFrame,
+    path: str,
     ranks_path: str,
     pattern: str,
     *,
@@ -129,11 +129,12 @@ def pack(
     A document is its ids and ``end_id``; null is the empty text, so it has one token. Longer documents are
     cut into pieces of ``tokens``, the first of which takes the remainder. ``attention`` is the capacity for
     the sum of squared piece lengths, by default that of one full piece, which the token capacity implies.
-    Repeated rows are packed as often as they occur; an empty table gives an empty result.
+    Repeated rows are packed as often as they occur; an empty table gives an empty result; other columns are ignored,
+    whatever their names. ``path`` and ``ranks_path`` are the tokenizer's two files, on every machine.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    pieces = durable(rows.mapInArrow(_pieces(ranks_path, pattern, end_id, tokens), f"id {kind}, piece int, start long, length long, ids_crc32 long"))
+    pieces = durable(rows.mapInArrow(_pieces(path, ranks_path, pattern, end_id, tokens), f"id {kind}, piece int, start long, length long, ids_crc32 long"))
     n = max(1, -(-pieces.count() // GROUP))
     # The rows are fixed by the checkpoint, so numbers by partition deal them alike in every attempt.
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(n)))

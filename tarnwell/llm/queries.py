@@ -55,7 +55,7 @@ def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op4_near_dedup": NEAR_DEDUP_SQL, "op5_nearest": NEAREST_SQL}
 
 
 #: Exact classes of lines, pairs that share a half (as any two lines within one edit do), and their edit distance.
@@ -86,21 +86,54 @@ LINE_DEDUP_SQL = r"""
 with lines as (
   select doc_id, no, line, lower(trim(line)) as n from (
     select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents)
-), big as (select * from lines where length(n) >= 20),
+), big as (select * from lines where regexp_matches(n, '\S')),
 first as (select n, min(struct_pack(d := doc_id, i := no)) as pos from big group by n),
 halves as (
   select n, pos, unnest(list_distinct([
     'h' || left(n, length(n) // 2), 't' || right(n, length(n) // 2),
-    'h' || left(n, (length(n) - 1) // 2), 't' || right(n, (length(n) - 1) // 2)])) as half from first
+    'h' || left(n, (length(n) - 1) // 2), 't' || right(n, (length(n) - 1) // 2)])) as half from first where length(n) >= 10
 ), near as (
   select distinct b.n from halves a join halves b on a.half = b.half and a.pos < b.pos
   where abs(length(a.n) - length(b.n)) <= 1 and levenshtein(a.n, b.n) <= 1
 ), marked as (
   select l.doc_id, l.no, l.line,
-    length(l.n) >= 20 and (x.n is not null or f.pos <> struct_pack(d := l.doc_id, i := l.no)) as gone
+    regexp_matches(l.n, '\S') and (x.n is not null or f.pos <> struct_pack(d := l.doc_id, i := l.no)) as gone
   from lines l left join first f on l.n = f.n left join near x on l.n = x.n
 )
 select doc_id, count(*) as n_lines, cast(sum(case when coalesce(gone, false) then 1 else 0 end) as bigint) as n_dropped,
   coalesce(string_agg(line, chr(10) order by no) filter (where not coalesce(gone, false)), '') as text
 from marked group by doc_id
 """
+
+#: Exact shingle sets (equal ones are one class), all pairs that share a shingle, and the closure of their links.
+NEAR_DEDUP_SQL = r"""
+with recursive split as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, case when coalesce(len(w), 0) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) end as s from split
+), classes as (select s, min(doc_id) as rep from sets where len(s) > 0 group by s),
+shingle as (select rep, len(s) as n, unnest(s) as g from classes),
+pairs as (
+  select a.rep as a, b.rep as b from shingle a join shingle b on a.g = b.g and a.rep < b.rep and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges as (select a, b from pairs union all select b, a from pairs),
+reach(node, root) as (select rep, rep from classes union select e.b, r.root from reach r join edges e on e.a = r.node),
+roots as (select node, min(root) as root from reach group by node)
+select d.doc_id, cast(len(d.s) as bigint) as n_shingles, coalesce(r.root, d.doc_id) as component_id, coalesce(r.root, d.doc_id) = d.doc_id as kept
+from sets d left join classes c on c.s = d.s left join roots r on r.node = c.rep
+"""
+
+#: All cosines in double precision, sums from the first component to the last.
+NEAREST_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+), usable as (
+  select vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda x, y: x + y)) as norm from v
+  where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda x, y: x + y) / (c.norm * q.norm) as score
+  from usable q join usable c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
+"""

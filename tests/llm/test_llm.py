@@ -31,7 +31,7 @@ OPERATORS = {
     "near": neardup.near_duplicates,
     "quality": quality.classify,
     "media": lambda d: telephony.decode_media(telephony.encode_media(d)),
-    "pack": lambda d: packing.pack(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+    "pack": lambda d: packing.pack(d, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
     "surrogates": lambda d: surrogates.replace(d, b"k"),
     "tokens": lambda d: tokencount.count_tokens(d, P.path("word_bpe_49k.json")),
 }
@@ -159,15 +159,20 @@ def test_short_repeated_lines_go(spark):
     assert got == {1: (docs[0][1], 5, 0), 2: ("\nb\npage 2\n \t", 5, 1), 3: ("\r\nnew", 6, 4), 4: ("x", 2, 1)}
 
 
-def test_op3_matches_whole_sql(spark, sf):
-    """The registered query against its SQL without the least length of equal lines, and near ones from 10 characters."""
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op4_near_dedup", "op5_nearest"])
+def test_queries_match_their_sql(spark, sf, name):
     import oracle
     from tarnwell.llm import queries
 
-    sql = queries.LINE_DEDUP_SQL.replace("big as (select * from lines where length(n) >= 20)", "big as (select * from lines where n <> '')")
-    sql = sql.replace("where abs(length(a.n)", "where length(a.n) >= 10 and length(b.n) >= 10 and abs(length(a.n)").replace("length(l.n) >= 20 and (x.n", "l.n <> '' and (x.n")
-    assert sql.count(">= 10") == 2 and ">= 20" not in sql
-    assert oracle.spark_rows(queries.op3_line_dedup(spark, sf)) == oracle.sql_rows(oracle.connection(sf), sql)
+    assert oracle.spark_rows(queries.queries()[name](spark, sf)) == oracle.sql_rows(oracle.connection(sf), queries.oracle_sql()[name])
+
+
+def test_emptied_rows_go_and_other_bounds_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a line\nand another"), (2, "a line\n \n"), (3, " \n"), (4, None), (5, "a line\nnew")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(docs, counts=False, keep_emptied=False).collect()}
+    assert got == {1: "a line\nand another", 3: " \n", 4: None, 5: "new"}
+    with pytest.raises(ValueError):
+        linedup.dedup_lines(docs, edits=2)
 
 
 # Near duplicates
@@ -380,13 +385,26 @@ def odd_texts(n, seed):
 
 def test_ids_and_counts_are_the_libraries(spark):
     texts = odd_texts(1500, 9) + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    own, lib = bpe.ByteBpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    own, lib = bpe.ByteBpe(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     assert [own.ids(t).tolist() for t in texts] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
     path = P.path("word_bpe_49k.json")
     words = bpe.WholeWords(path, bpe.prove_whole_tokens(path))
     assert words.counts(texts) == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+LONG = {"spaces": "a" + " " * 2_000_000 + "b", "newlines": "\n" * 2_000_000, "letters": "ab" * 1_000_000, "marks": "!?" * 1_000_000, "digits": "1" * 2_000_000, "CJK": "日本" * 1_000_000}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_very_long_runs_have_the_librarys_ids(name):
+    path, text = P.path("byte_bpe_50k.json"), LONG[name]
+    own = bpe.ByteBpe(path, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert (own.ids(text) == np.array(Tokenizer.from_file(path).encode_batch_fast([text], add_special_tokens=False)[0].ids)).all()
+    path = P.path("word_bpe_49k.json")
+    words = bpe.WholeWords(path, bpe.prove_whole_tokens(path))
+    assert words.counts([text]) == [len(Tokenizer.from_file(path).encode_batch_fast([text], add_special_tokens=False)[0].ids)]
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(score):
     n = np.sort(np.random.default_rng(10).integers(1, 101, 3000))[::-1]
@@ -401,7 +419,7 @@ def test_best_fit_keeps_every_capacity(score):
 def test_packed_pieces_are_whole(spark):
     texts = odd_texts(200, 11) + ["word " * 3000, None]
     rows = [(i, t) for i, t in enumerate(texts)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     by = collections.defaultdict(list)
     for r in got:
