@@ -11,18 +11,20 @@ exactly, so dense clusters of near-equal vectors get as many exact scores as the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import durable
+from tarnwell.llm.common import durable, rows_of
 
 CODES, SUB = 16, 2
 THRESHOLD = 0.2
 SAMPLE = 8192
-BLOCK = 32_768
+#: Vectors of a block, and queries that go to all blocks at once.
+BLOCK, QUERIES = 8192, 8192
 FIRST = 64
 SIGMAS = 3.0
 
@@ -95,16 +97,20 @@ def units(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
     return np.pad(vectors / norms[:, None], ((0, 0), (0, -vectors.shape[1] % SUB)))
 
 
+def pack(codes: np.ndarray) -> np.ndarray:
+    """Two 4-bit codes to a byte."""
+    if codes.shape[1] % 2:
+        codes = np.pad(codes, ((0, 0), (0, 1)))
+    return codes[:, ::2] | codes[:, 1::2] << 4
+
+
 class Block:
-    """The index of one block of vectors: codes, and originals for exact scores."""
+    """Some vectors of the index: packed codes, and originals for exact scores."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, books: np.ndarray, weight: float) -> None:
-        self.ids, self.vectors, self.books = ids, vectors, books
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, packed: np.ndarray, error: np.ndarray, books: np.ndarray) -> None:
+        self.ids, self.vectors, self.error, self.books = ids, vectors, error, books
         self.norms = np.sqrt(in_order(vectors * vectors))
-        codes, self.error = assign(units(vectors, self.norms), books, weight)
-        if codes.shape[1] % 2:
-            codes = np.pad(codes, ((0, 0), (0, 1)))
-        self.packed = np.ascontiguousarray((codes[:, ::2] | codes[:, 1::2] << 4).T)
+        self.packed = np.ascontiguousarray(packed.T)
 
     def estimate(self, query: np.ndarray) -> np.ndarray:
         table = np.einsum("skc,sc->sk", self.books, query.reshape(-1, SUB)).astype(np.float32)
@@ -135,28 +141,29 @@ class Block:
         return self.ids[few][best], score[best]
 
 
-def _search(books: np.ndarray, weight: float, dims: int, k: int):
+def _encode(books: np.ndarray, weight: float, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, parts, block = None, [], [], None
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            is_query = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            vec_ids, vectors = batch.column(2).to_numpy(), _vectors(batch.column(3), dims)
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (is_query[1:] != is_query[:-1])) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
-                if hi == lo:
-                    continue
-                if key[lo] != at:
-                    at, ids, parts, block = key[lo], [], [], None
-                if not is_query[lo]:
-                    ids.append(vec_ids[lo:hi])
-                    parts.append(vectors[lo:hi])
-                    continue
-                if block is None:
-                    if not ids:
-                        continue
-                    block = Block(np.concatenate(ids), np.concatenate(parts), books, weight)
-                found = [(q, *block.search(q, v, k)) for q, v in zip(vec_ids[lo:hi], vectors[lo:hi])]
+            for part in rows_of(batch, 4096):
+                v = _vectors(part.column(1), dims)
+                codes, error = assign(units(v, np.sqrt(in_order(v * v))), books, weight)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in pack(codes)], pa.binary()), pa.array(error)], ["vec_id", "v", "codes", "error"])
+
+    return run
+
+
+def _search(books: np.ndarray, dims: int, k: int, asked):
+    """The k nearest of each query in each block of a partition of the index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, vectors = asked.value
+        rows = pa.Table.from_batches(held) if (held := [b for b in batches if b.num_rows]) else None
+        for lo in range(0, rows.num_rows if rows else 0, BLOCK):
+            part = rows.slice(lo, BLOCK).combine_chunks()
+            packed = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            block = Block(part.column(0).to_numpy(), _vectors(part.column(1), dims), packed, part.column(3).to_numpy(), books)
+            for at in range(0, len(queries), 1024):
+                found = [(q, *block.search(q, v, k)) for q, v in zip(queries[at : at + 1024], vectors[at : at + 1024])]
                 q = np.concatenate([np.full(len(i), q, np.int64) for q, i, _ in found])
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], ["query_id", "vec_id", "score"])
 
@@ -176,34 +183,43 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
 
     Every row but the query's own is a candidate; with fewer than k all are returned. Ties go to the smaller id.
     Of equal vectors only the k + 1 smallest ids can be among the nearest, so others leave before the search.
-    The codebooks are fitted on about SAMPLE rows, chosen by hash of the id; all rows are indexed, in blocks dealt by
-    hash, and a query visits all blocks. Vectors of another length than most of the sample's take no part.
-    Without two usable vectors the result is empty. Rows that repeat an id are one row each; a query's
-    own id is never its own neighbour.
+    The codebooks are fitted on about SAMPLE rows, chosen by hash of the id; all rows are indexed once, in blocks dealt by
+    hash. Queries go to all blocks in chunks of about QUERIES by broadcast, so nothing is shuffled but each block's k best.
+    A cosine needs vectors of one length: those of another length than most (the least such length at a tie) take no part.
+    Without two usable vectors the result is empty. Rows that repeat an id are one row each as candidates; as queries one of
+    them counts, the same in each run, and a query's own id is never its own neighbour. Other columns are ignored, whatever their names.
     """
     schema = "query_id long, vec_id long, score double"
     rows = clean(table, id_col, vector_col)
     key = Window.partitionBy("h1", "h2").orderBy("vec_id")
     hashed = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(5), "v")})
     few = durable(hashed.withColumn("r", F.row_number().over(key)).where(F.col("r") <= k + 1).select("vec_id", "v"))
-    n, dims = few.agg(F.count(F.lit(1)), F.mode(F.size("v"))).first()
+    n, dims = few.agg(F.count(F.lit(1)), F.mode(F.size("v"), True)).first()
     spark = table.sparkSession
-    if not n or dims % SUB:
-        if n:
-            raise ValueError(f"vectors of {dims} components cannot be cut into subspaces of {SUB}")
+    if not n:
         return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     few = few.where(F.size("v") == dims)
     share = min(1.0, SAMPLE / n)
-    chosen = few.where(F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").toArrow()
+    chosen = few.where(F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("vec_id", "v").select("v").toArrow()
     sample = _vectors(chosen.column(0), dims) if chosen.num_rows else np.ones((1, dims))
-    sample /= np.sqrt((sample * sample).sum(1))[:, None]
+    sample = units(sample, np.sqrt(in_order(sample * sample)))
     weight = parallel_weight(dims)
     books = fit(sample, weight)
     blocks = max(1, -(-n // BLOCK))
-    index = few.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("q"), "vec_id", "v")
-    asked = rows.where((F.col("vec_id") % every == 0) & (F.size("v") == dims)).dropDuplicates(["vec_id"])
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("q"), "vec_id", "v")
-    both = index.union(asked).repartition(blocks, "block").sortWithinPartitions("block", "q")
-    found = both.mapInArrow(_search(books, weight, dims, k), schema)
+    dealt = few.repartition(blocks, F.xxhash64("vec_id", "v"))
+    index = durable(dealt.mapInArrow(_encode(books, weight, dims), "vec_id long, v array<double>, codes binary, error double"))
+    asked = rows.where((F.col("vec_id") % every == 0) & (F.size("v") == dims)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = durable(asked)
+    chunks = max(1, -(-asked.count() // QUERIES))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = []
+    for c in range(chunks):
+        mine = asked.where(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(chunks)) == c).toArrow()
+        shared = spark.sparkContext.broadcast((mine.column("vec_id").to_numpy(), _vectors(mine.column("v"), dims)))
+        hits = index.mapInArrow(_search(books, dims, k, shared), schema)
+        top = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if chunks > 1:
+            top = durable(top)
+            shared.unpersist()
+        found.append(top)
+    return reduce(DataFrame.union, found)

@@ -316,10 +316,10 @@ def test_search_recall_and_order(spark):
     got = collections.defaultdict(list)
     for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    norm = np.sqrt((x * x).sum(1))
+    norm = np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1])
     hit = 0
     for q in range(0, 1500, 50):
-        s = (x * x[q]).sum(1) / (norm * norm[q])
+        s = np.add.accumulate(x * x[q], axis=1)[:, -1] / (norm * norm[q])
         s[q] = -9
         best = np.lexsort((np.arange(1500), -s))[:5]
         hit += len(set(best) & {v for v, _ in got[q]})
@@ -331,6 +331,35 @@ def test_search_recall_and_order(spark):
     assert ann.search(few).count() == 2 and ann.search(few.limit(0)).count() == 0
 
 
+def nearest(rows, k=5):
+    """(query, vec_id, score) by brute force, best first."""
+    out = []
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    for q, v in dict(sorted(rows, reverse=True)).items():
+        if q % 50 == 0:
+            all_ = sorted((-(sum(x * y for x, y in zip(v, w)) / (norm(w) * norm(v))), i) for i, w in rows if i != q)
+            out += [(q, i, -s) for s, i in all_[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("dims", [1, 3, 8])
+def test_search_in_blocks_and_chunks(spark, monkeypatch, dims):
+    """Odd lengths, repeated ids, clashing names, several blocks and chunks of queries."""
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "QUERIES", 2)
+    rng = np.random.default_rng(30 + dims)
+    rows = [(i, [float(x) for x in rng.normal(size=dims)]) for i in range(400)] + [(50, [1.0] * dims), (7, [2.0] + [0.5] * (dims - 1))]
+    odd = [(900, [1.0] * (dims + 1)), (None, [1.0] * dims), (950, None)]
+    table = spark.createDataFrame([(i, v, "r", 0, 1.0, 2) for i, v in rows + odd], "vec_id long, embedding array<double>, v string, rank int, score double, h1 int")
+    got = sorted((r.query_id, r.vec_id, r.score) for r in ann.search(table).collect())
+    want = nearest(rows)
+    assert len(got) == len(want) == 40
+    if dims > 1:
+        assert len(set(g[:2] for g in got) & {w[:2] for w in want}) >= 38
+    scores = {(q, i): s for q, i, s in nearest(rows, 1000)}
+    assert all(s in (scores[q, i], pytest.approx(scores[q, i], abs=1)) for q, i, s in got)
+
+
 # Quality
 
 
