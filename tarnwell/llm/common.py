@@ -21,16 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made, once.
+    Only where that is unset and all runs on one machine (tests) a temporary folder is made, once.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="tarnwell-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared file system with all in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder; it survives lost executors."""
     shared_folder(df.sparkSession)
@@ -44,10 +53,13 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: i
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
-def rows_of(batch: pa.RecordBatch, size: int = 256) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``size`` rows, so that few texts are Python objects at once."""
+def rows_of(batch: pa.RecordBatch, size: int = 256, most: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``size`` rows, and of fewer where they pass ``most`` bytes, so that few texts are Python objects at once."""
     for at in range(0, batch.num_rows, size):
-        yield batch.slice(at, size)
+        part = batch.slice(at, size)
+        step = max(1, part.num_rows * most // max(most, part.nbytes))
+        for lo in range(0, part.num_rows, step):
+            yield part.slice(lo, step)
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
