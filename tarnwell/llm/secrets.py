@@ -3,8 +3,8 @@
 Candidate strings are maximal runs of key-like characters. Each is put in one character class;
 a window slides over it, its Shannon entropy is kept by adding the entering and removing the
 leaving character's count, and windows at or above the class's threshold join into spans.
-An allow list suppresses candidates that look random but are no secrets. Entropy spans that
-lie inside a pattern match add nothing and are left out; pattern matches always stay.
+An allow list suppresses candidates that look random but are no secrets. Entropy spans are found
+whether or not a pattern matches there too, and pattern matches always stay.
 """
 
 from __future__ import annotations
@@ -113,7 +113,6 @@ def spans(text: str | None, allow: Iterable[re.Pattern] = tuple(map(re.compile,
     if not text:
         return []
     found = base_spans(text)
-    base = list(found)
     if _RUN in text.encode("utf-8", "surrogatepass").translate(_RUNS):
         for m in CANDIDATE.finditer(text):
             run = m[0]
@@ -121,9 +120,7 @@ def spans(text: str | None, allow: Iterable[re.Pattern] = tuple(map(re.compile,
                 continue
             kind = class_of(run)
             for lo, hi in windows(run, *limits[kind]):
-                lo, hi = m.start() + lo, m.start() + hi
-                if not any(s.start <= lo and hi <= s.end for s in base):
-                    found.append(Span(kind, lo, hi))
+                found.append(Span(kind, m.start() + lo, m.start() + hi))
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
@@ -135,7 +132,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: the id and ``spans`` as an array of (kind, start, end, secret).
 
     Offsets are code points, the end is exclusive. A null or empty text has no spans; repeated rows
-    are scanned alike; other columns are ignored, so clashing names do no harm. One pass, no shuffle.
+    are scanned alike; an empty table gives an empty result; other columns are ignored, so clashing names do no harm.
+    One pass, no shuffle.
     """
     patterns = tuple(allow)
 

@@ -84,9 +84,49 @@ def test_base_spans_as_the_patterns_say():
 def test_entropy_adds_and_allow_list_suppresses():
     key = "q7Zx93KmPv2LtR8sWn4Yb6Cd"
     assert [s.kind for s in secrets.spans(f"see {key} there")] == ["ent_alnum"]
+    # Inside a pattern's match too; the match stays as it is.
+    assert [tuple(s) for s in secrets.spans(f"secret: {key}")] == [("assign", 0, 32), ("ent_alnum", 8, 32)]
+    assert [tuple(s) for s in secrets.spans("token=changeme-example-1234567890")] == [("assign", 0, 33)]
     assert not secrets.spans("id 123e4567-e89b-12d3-a456-426614174000 and internationalisation-of-things-2024 and 12345678901234567890123")
 
 
+def folder_of(spark, path, rows):
+    """A folder whose table ``documents`` has the rows (doc_id, text, source)."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.selectExpr("doc_id", "text", "'en' AS lang", "source", "length(text) AS n_chars").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_op1_against_brute_force(spark, tmp_path):
+    """The registered query: base spans by the contract's patterns, entropy spans by counting each window anew."""
+    import hashlib
+
+    from tarnwell.llm import queries
+
+    rng = random.Random(31)
+    parts = ["password = ", "Token:", "api_key=\"", "AKIA", "é", " ", "\n", "secret", "-", "ABCDEFGHIJKLMNOPQRST", "0123456789abcdef" * 2, "q7Zx93KmPv2LtR8sWn4Yb6Cd", "a/b+c9Zt7Qw2Er5Ty8Ui1Op3==", "AbC_dEf-1gH2iJ3kL4mN5oP6qR"]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(300))]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    word = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    order = ["assign", "access", "hex", "ent_hex", "ent_base64", "ent_urlsafe", "ent_alnum"]
+    added = 0
+    for r in queries.op1_secrets(spark, folder_of(spark, tmp_path, rows)).collect():
+        t = texts[r.doc_id] or ""
+        base = [("assign", *m.span()) for m in re.finditer(word, t, re.I | re.A) if len(m[2]) >= 6]
+        base += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        base += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        more = []
+        for m in secrets.CANDIDATE.finditer(t):
+            if not any(re.search(p, m[0]) for p in secrets.ALLOW):
+                kind = secrets.class_of(m[0])
+                more += [(kind, m.start() + a, m.start() + b) for a, b in slow_windows(m[0], *secrets.WINDOWS[kind])]
+        text = lambda found: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(found, key=lambda x: (x[1], order.index(x[0]))))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b[0] == k for b in base) for k in order[:3])
+        assert r.base_sha256 == hashlib.sha256(text(base).encode()).hexdigest() and r.spans == text(base + more)
+        added += len(more)
+    assert added > 50
+
+
 # Mixing
 
 
@@ -369,10 +409,33 @@ def test_quality_on_given_labels(spark):
     got = [(labels[r.doc_id], r.keep) for r in quality.classify(docs).collect() if r.doc_id in labels]
     assert sum(bool(q) == k for q, k in got) >= 0.93 * len(got)
     assert sum(k for q, k in got if q) >= 0.98 * sum(q for q, _ in got)
+    model = quality.fit(docs)
+    assert model.labels.accuracy[:, 0].min() > 0.95 and 0.7 < model.labels.share < 0.95
     kept = quality.filter_documents(docs)
     assert kept.columns == docs.columns and kept.count() == quality.classify(docs).where("keep").count()
 
 
+def test_label_model_finds_planted_accuracies():
+    """Votes drawn from known tables: three kinds of bad documents, each seen by two labellers of known accuracy."""
+    rng = np.random.default_rng(41)
+    n, k = 20_000, len(quality.LABELLERS)
+    kind = rng.choice(4, n, p=[0.8, 0.07, 0.07, 0.06])
+    wrong = np.where(rng.random((n, k)) < 0.02, -1, 1)
+    for z in (1, 2, 3):
+        for j in (2 * z, 2 * z + 1):
+            wrong[kind == z, j] = np.where(rng.random((kind == z).sum()) < 0.9, -1, 1)
+    codes, counts = np.unique([quality._code(v) for v in wrong], return_counts=True)
+    got = quality.estimate(codes, counts.astype(float))
+    assert abs(got.share - 0.8) < 0.05 and np.abs(got.accuracy[:, 0] - 0.98).max() < 0.02
+    post = np.array([got.posterior[quality._code(v)] for v in wrong])
+    # A fifth of the good ones have a wrong vote, which alone looks like a defect that one labeller sees.
+    assert ((post >= 0.5) == (kind == 0)).mean() > 0.9
+
+
+def test_short_texts_are_judged_by_the_same_votes():
+    assert quality.describe("!!! WOW !!!").votes.min() == -1 and quality.describe("A short note.").votes.min() == 1
+
+
 # Audio
 
 
@@ -386,6 +449,37 @@ def test_audio_round_trip_and_tables():
         assert telephony.wav_samples(telephony.wav(p, 7, 8, 8000)) == (7, p)
 
 
+def test_op7_against_brute_force(spark, tmp_path):
+    """The registered query's digests, from the payload alone; the PCM by the definition of its samples."""
+    import hashlib
+
+    from tarnwell.llm import queries
+
+    texts = [None, "", "a", "x" * 64, "é" * 33, "long " * 40_000, "a"]
+    got = {r.doc_id: r for r in queries.op7_telephony(spark, folder_of(spark, tmp_path, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        p = raw + bytes(-len(raw) % 64 if raw else 64)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        media = telephony.wav(p, 7, 8, 8000)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        expand = [int(telephony.MULAW_PCM[b]) for b in p]
+        pcm = [x for a, b in zip(expand, expand[1:] + expand[-1:]) for x in (a, (a + b) // 2)]
+        samples = np.array(pcm, "<i2").tobytes()
+        assert (r.pcm_bytes, r.pcm_crc32) == (46 + len(samples), zlib.crc32(samples)) and f"crc={r.pcm_crc32}" in r.feature
+    assert got[2][1:] == got[6][1:]
+
+
+def test_unreadable_media_give_nulls(spark):
+    good = telephony.wav(telephony.payload("text"), 7, 8, 8000)
+    rows = [(1, None, 1, "x"), (2, b"RIFF", 2, "x"), (3, good[:-5], 3, "x"), (4, good, 4, "x"), (5, telephony.wav(b"ab", 1, 16, 8000), 5, "x"), (6, telephony.wav(b"abc", 7, 8, 8000), 6, "x")]
+    media = spark.createDataFrame([(a, bytearray(b) if b else None, c, d) for a, b, c, d in rows], "doc_id long, media binary, n_bytes int, pcm string")
+    got = {r.doc_id: r for r in telephony.decode_media(media).collect()}
+    assert [i for i in got if got[i].payload is not None] == [4, 6] and got[4].pcm and got[3].feature is None and bytes(got[6].payload) == b"abc"
+    assert telephony.decode_media(media.limit(0)).count() == 0
+
+
 def test_adpcm_blocks_match_a_loop():
     blocks = np.random.default_rng(8).integers(0, 256, (20, 64), dtype=np.uint8)
     got = telephony.decode_adpcm(blocks)
