@@ -51,7 +51,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = telephony.encode_media(table(spark, sf_dir, "documents"))
-    return telephony.media_digests(telephony.decode_media(media, with_pcm=False))
+    return telephony.media_digests(telephony.decode_media(media))
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,19 +66,19 @@ def wav(samples: bytes, kind: int, bits: int, rate: int) -> bytes:
     return head + body
 
 
-def wav_samples(media: bytes) -> tuple[int, bytes]:
-    """(format code, sample bytes) of a WAV file, by walking its chunks."""
-    if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
+def wav_samples(media: bytes | None) -> tuple[int, bytes] | None:
+    """(format code, sample bytes) of a WAV file, by walking its chunks; None if it is none or has no samples."""
+    if media is None or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
+        return None
     at, kind = 12, 0
     while at + 8 <= len(media):
         name, size = struct.unpack_from("<4sI", media, at)
-        if name == b"fmt ":
+        if name == b"fmt " and at + 10 <= len(media):
             kind = struct.unpack_from("<H", media, at + 8)[0]
         elif name == b"data":
-            return kind, media[at + 8 : at + 8 + size]
+            return (kind, media[at + 8 : at + 8 + size]) if at + 8 + size <= len(media) else None
         at += 8 + size + size % 2
-    raise ValueError("no data chunk")
+    return None
 
 
 def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
@@ -135,7 +135,10 @@ def features(samples: bytes, adpcm: np.ndarray) -> tuple[str, np.ndarray]:
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): each text's payload as a mu-law WAV file. Null is the empty text: 64 zero bytes."""
+    """(id, n_bytes, media): each text's payload as a mu-law WAV file. Null is the empty text: 64 zero bytes.
+
+    Repeated rows are alike; an empty table gives an empty result; other columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,35 +153,39 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"_id {kind}, n_bytes long, media binary").withColumnRenamed("_id", id_col)
 
 
-def decode_media(media: DataFrame, id_col: str = "doc_id", with_pcm: bool = True) -> DataFrame:
-    """(id, n_bytes, media, payload, feature[, pcm]): stored files read back, decoded and measured.
+def decode_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_bytes, media, payload, feature, pcm): stored files read back, decoded and measured.
 
-    ``pcm`` is the mu-law expansion at 16 kHz as a 16-bit PCM WAV file. ADPCM blocks are of 64 bytes;
-    the blocks of up to 256 rows are decoded together. One pass, no shuffle; equal media, equal values.
+    ``pcm`` is the mu-law expansion at 16 kHz as a 16-bit PCM WAV file. ADPCM blocks are of 64 bytes, the last filled with
+    zeros; the blocks of up to 256 rows are decoded together. Null media, and what is no whole mu-law WAV file, give null payload,
+    feature and pcm. One pass, no shuffle; equal media, equal values; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in rows_of(batch):
-                stored = [wav_samples(m)[1] for m in part.column(2).to_pylist()]
-                cuts = np.append(0, np.cumsum([len(s) // UNIT for s in stored]))
-                blocks = decode_adpcm(np.frombuffer(b"".join(stored), np.uint8).reshape(-1, UNIT))
-                found = [features(s, blocks[lo:hi].ravel()) for s, lo, hi in zip(stored, cuts[:-1], cuts[1:])]
-                columns = [*part.columns, pa.array(stored, pa.binary()), pa.array([t for t, _ in found], pa.string())]
-                names = ["_id", "n_bytes", "media", "payload", "feature"]
-                if with_pcm:
-                    columns.append(pa.array([wav(p.astype("<i2").tobytes(), PCM, 16, 2 * RATE) for _, p in found], pa.binary()))
-                    names.append("pcm")
-                yield pa.RecordBatch.from_arrays(columns, names)
+            for part in rows_of(batch, most=1 << 23):
+                read = map(wav_samples, part.column(2).to_pylist())
+                stored = [r[1] if r and r[0] == MULAW else None for r in read]
+                whole = [(s or b"") + bytes(-len(s or b"") % UNIT) for s in stored]
+                cuts = np.append(0, np.cumsum([len(s) // UNIT for s in whole]))
+                blocks = decode_adpcm(np.frombuffer(b"".join(whole), np.uint8).reshape(-1, UNIT))
+                found = [(None, None) if s is None else features(s, blocks[lo:hi].ravel()) for s, lo, hi in zip(stored, cuts[:-1], cuts[1:])]
+                pcm = [None if p is None else wav(p.astype("<i2").tobytes(), PCM, 16, 2 * RATE) for _, p in found]
+                columns = [*part.columns, pa.array(stored, pa.binary()), pa.array([t for t, _ in found], pa.string()), pa.array(pcm, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "n_bytes", "media", "payload", "feature", "pcm"])
 
     kind = media.schema[id_col].dataType.simpleString()
-    rows = media.select(media[id_col].alias("_id"), "n_bytes", "media")
-    out = f"_id {kind}, n_bytes long, media binary, payload binary, feature string" + ", pcm binary" * with_pcm
-    return rows.mapInArrow(run, out).withColumnRenamed("_id", id_col)
+    rows = media.select(media[id_col].alias("_id"), media["n_bytes"].cast("long").alias("n_bytes"), media["media"].alias("media"))
+    return rows.mapInArrow(run, f"_id {kind}, n_bytes long, media binary, payload binary, feature string, pcm binary").withColumnRenamed("_id", id_col)
+
+
+#: Bytes of a WAV file before its samples.
+HEAD = 46
 
 
 def media_digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The digest columns of decoded media: sizes, SHA-256 and CRC-32 of what was read back."""
+    """The digest columns of decoded media: sizes, SHA-256 and CRC-32 of what was read back, and of the stored PCM file and its samples."""
     return decoded.select(
         id_col,
         "n_bytes",
@@ -188,4 +195,7 @@ def media_digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
+        F.crc32(F.expr(f"substring(pcm, {HEAD + 1})")).alias("pcm_crc32"),
     )
