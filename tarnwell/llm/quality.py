@@ -2,7 +2,9 @@
 
 Heuristic labellers vote good, bad or abstain on every document. Expectation-maximisation over the
 counts of vote patterns (of all documents; at most 3**labellers patterns) estimates each labeller's
-accuracies and the share of good documents. The posteriors of a bounded sample train a linear scorer
+accuracies and the share of good documents. Documents are mostly bad in one way, so the labellers are not independent among the bad ones;
+the model therefore has one good class and a bad one for each labeller, named by where it starts. All vote tables are free: every labeller starts from the same
+accuracy, which also smooths the counts, and nothing bounds where it ends. The posteriors of a bounded sample train a linear scorer
 on hashed trigrams of character classes, which then scores every document. No given labels are used.
 """
 
@@ -21,10 +23,26 @@ from tarnwell.llm.common import mix64, rows_of
 
 DIMS = 2048
 SAMPLE = 8192
-LEAST_WORDS = 15
 KEEP = 0.5
 
-LABELLERS = ("symbols", "capitals", "exclaim", "repeats", "endings", "columns", "words", "letters")
+#: Accuracy from which every labeller starts; it counts as PRIOR documents of each class.
+RIGHT, PRIOR = 0.7, 1.0
+
+#: What a document is bad from and good to, after the rules published for web corpora (symbols and letters in words, word
+#: length, closing punctuation, repeated pairs of words, capitals). No table's labels set them.
+LIMITS = {
+    "symbols": (0.1, 0.01),  # symbol characters per word
+    "wordless": (0.2, 0.05),  # words without a letter
+    "lengths": (3.5, 2.5),  # mean letters per word, as the distance from 6.5 (3 to 10) and from 5.75 (3.25 to 8.25)
+    "endings": (0.88, 0.5),  # lines without closing punctuation
+    "pairs": (0.2, 0.1),  # the most frequent pair of neighbouring words, if it repeats
+    "stutter": (0.2, 0.05),  # words equal to the one before
+    "capitals": (0.3, 0.1),  # of letters
+    "exclaim": (0.1, 0.02),  # exclamation marks per word
+    "columns": (0.1, 0.01),  # words that are one separator or bullet
+    "letters": (0.3, 0.15),  # visible characters that are no letters
+}
+LABELLERS = tuple(LIMITS)
 
 #: Bytes by class: lower a (and all of UTF-8's high bytes), upper A, digit 0, white space, others themselves.
 _CLASSES = bytes(
@@ -33,6 +51,8 @@ _CLASSES = bytes(
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#$%&*+/<=>@[\\]^_`{|}~")] = True
 _HIGH = re.compile(rb"[\xc3][\x80-\x9e]")
+#: The first letter of a word and all after it, so one match for each word with a letter.
+_LETTERED = re.compile(rb"[aA][^ \n]*")
 
 
 class Features(NamedTuple):
@@ -40,9 +60,10 @@ class Features(NamedTuple):
     trigrams: np.ndarray
 
 
-def vote(value: float, bad_from: float, good_to: float) -> int:
-    """-1 (bad) from ``bad_from`` on, 1 (good) up to ``good_to``, else 0 (abstain)."""
-    return -1 if value >= bad_from else 1 if value <= good_to else 0
+def vote(name: str, value: float, good: float | None = None) -> int:
+    """-1 (bad) from the labeller's first limit on, 1 (good) up to its second, else 0 (abstain)."""
+    bad_from, good_to = LIMITS[name]
+    return -1 if value >= bad_from else 1 if (value if good is None else good) <= good_to else 0
 
 
 def describe(text: str | None) -> Features:
@@ -50,34 +71,33 @@ def describe(text: str | None) -> Features:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
-    votes = np.zeros(len(LABELLERS), np.int8)
     if not n:
-        return Features(votes, np.zeros(0, np.int64))
-    classes = np.frombuffer(raw.translate(_CLASSES), np.uint8)
+        return Features(np.zeros(len(LABELLERS), np.int8), np.zeros(0, np.int64))
+    plain = raw.translate(_CLASSES)
+    classes = np.frombuffer(plain, np.uint8)
     size = np.bincount(classes, minlength=256)
     upper = int(size[65]) + len(_HIGH.findall(raw))
     letters = int(size[97] + size[65])
     visible = int(len(raw) - size[32] - size[10])
-    votes[0] = vote(size[_SYMBOLS].sum() / visible, 0.05, 0.005)
-    votes[1] = vote(upper / max(1, letters), 0.3, 0.1)
-    votes[2] = vote(size[33] / n, 0.1, 0.01)
     pairs = Counter(zip(words, words[1:]))
-    again = sum(c for (x, y), c in pairs.items() if x == y) / max(1, n - 1)
-    top = max(pairs.values(), default=0) / max(1, n - 1)
-    votes[3] = -1 if again >= 0.2 or top >= 0.1 and n >= 40 else 1 if again < 0.05 and top < 0.05 else 0
+    top = max(pairs.values(), default=0)
     lines = [x.rstrip() for x in raw.split(b"\n") if x.strip()]
-    ended = sum(x.endswith((b".", b"!", b"?", b'"', b":")) for x in lines) / len(lines)
-    votes[4] = -1 if ended < 0.2 and len(lines) > 2 else 1 if ended > 0.6 else 0
-    alone = sum(map(Counter(words).__getitem__, (b"|", b"*", b"-", b"#"))) / n
-    votes[5] = vote(alone, 0.1, 0.01)
     mean = letters / n
-    votes[6] = -1 if mean > 15 or mean < 1.5 else 1 if 2.5 <= mean <= 11 else 0
-    votes[7] = -1 if letters < 0.7 * visible else 1 if letters > 0.9 * visible else 0
-    if n < LEAST_WORDS:
-        votes = np.maximum(votes, 0)  # a few words show too little to be called bad
+    votes = [
+        vote("symbols", size[_SYMBOLS].sum() / n),
+        vote("wordless", 1 - len(_LETTERED.findall(plain)) / n),
+        vote("lengths", abs(mean - 6.5), abs(mean - 5.75)),
+        vote("endings", 1 - sum(x.endswith((b".", b"!", b"?", b'"', b":")) for x in lines) / len(lines)),
+        vote("pairs", (top if top > 1 else 0) / max(1, n - 1)),
+        vote("stutter", sum(c for (x, y), c in pairs.items() if x == y) / max(1, n - 1)),
+        vote("capitals", upper / max(1, letters)),
+        vote("exclaim", size[33] / n),
+        vote("columns", sum(map(words.count, (b"|", b"*", b"-", b"#"))) / n),
+        vote("letters", 1 - letters / visible),
+    ]
     short = classes[np.append(True, classes[1:] != classes[:-1])].astype(np.int64)
     short = np.concatenate([[10], short, [10, 10]])
-    return Features(votes, (mix64(short[:-2] << 16 | short[1:-1] << 8 | short[2:]) % np.uint64(DIMS)).astype(np.int64))
+    return Features(np.array(votes, np.int8), (mix64(short[:-2] << 16 | short[1:-1] << 8 | short[2:]) % np.uint64(DIMS)).astype(np.int64))
 
 
 def _code(votes: np.ndarray) -> int:
@@ -88,32 +108,39 @@ def _votes(code: int) -> np.ndarray:
     return code // 3 ** np.arange(len(LABELLERS)) % 3 - 1
 
 
-#: Bounds of log P(vote | good) / P(vote | bad): a labeller that finds a defect is right far more often than not, and one
-#: that finds none says little, as bad documents mostly have one defect. They also fix which class is which.
-BOUNDS = {-1: (-np.log(1000), -np.log(30)), 0: (-0.5, 0.5), 1: (0.0, 0.3)}
-
+class Labels(NamedTuple):
+    posterior: dict[int, float]
+    """Probability of good by pattern."""
+    accuracy: np.ndarray
+    """For each labeller: share of good among good documents' votes, of bad among bad documents' votes; abstentions left out."""
+    share: float
+    """Of good documents."""
 
-def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[dict[int, float], np.ndarray, float]:
-    """(posterior of good by pattern, log-likelihood ratios [labeller, vote], share of good) by EM.
 
-    Each labeller has its own distribution of votes for good and bad documents, within BOUNDS. Counts are smoothed by one.
-    """
+def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 1000) -> Labels:
+    """The label model by EM over patterns and their counts: class 0 is good, class j + 1 is what labeller j finds bad."""
     votes = np.array([_votes(int(c)) for c in codes], np.int64).reshape(-1, len(LABELLERS)) + 1
-    k = votes.shape[1]
-    low, high = (np.array([BOUNDS[v][i] for v in (-1, 0, 1)]) for i in (0, 1))
-    ratio = np.tile((low + high) / 2, (k, 1))
-    share, post = 0.8, np.zeros(len(counts))
+    k, rest = votes.shape[1], (1 - RIGHT) / 2
+    start = np.full((k + 1, k, 3), rest)
+    start[:, :, 2] = RIGHT
+    start[np.arange(k) + 1, np.arange(k)] = (RIGHT, rest, rest)
+    share = np.append(0.5, np.full(k, 0.5 / k))
+    tables, post = start, np.zeros((k + 1, len(counts)))
     for _ in range(rounds):
-        now = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + ratio[np.arange(k), votes].sum(1), -500, 500)))
-        done = np.abs(now - post).max(initial=0) < 1e-9
+        now = np.log(tables)[:, np.arange(k), votes].sum(2) + np.log(share)[:, None]
+        now = np.exp(now - now.max(0, initial=-np.inf))
+        now /= now.sum(0)
+        done = np.abs(now - post).max(initial=0) < 1e-7
         post = now
-        table = np.stack([[((p * counts)[:, None] * (votes == v)).sum(0) + 1 for v in range(3)] for p in (post, 1 - post)])
-        table /= table.sum(1, keepdims=True)
-        ratio = np.clip(np.log(table[0] / table[1]).T, low, high)
-        share = float(np.clip((post * counts).sum() / max(1, counts.sum()), 0.5, 0.99))
+        weight = post * counts
+        tables = np.stack([weight @ (votes == v) for v in range(3)], axis=2) + PRIOR * start
+        tables /= tables.sum(2, keepdims=True)
+        share = (weight.sum(1) + PRIOR) / (counts.sum() + PRIOR * (k + 1))
         if done:
             break
-    return dict(zip(codes.tolist(), post.tolist())), ratio, share
+    bad = np.einsum("z,zjv->jv", share[1:], tables[1:])
+    right = np.stack([tables[0, :, 2] / (tables[0, :, 2] + tables[0, :, 0]), bad[:, 0] / (bad[:, 0] + bad[:, 2])], axis=1)
+    return Labels(dict(zip(codes.tolist(), post[0].tolist())), right, float(share[0]))
 
 
 def train(rows: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, float]:
@@ -158,7 +185,7 @@ def _sample(batches):
 
 
 class Model(NamedTuple):
-    posterior: dict[int, float]
+    labels: Labels
     weights: np.ndarray
     bias: float
 
@@ -172,13 +199,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     seen = rows.select("text").mapInArrow(_codes, "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
     codes, counts = np.array([r.code for r in seen], np.int64), np.array([r.n for r in seen], np.float64)
-    posterior, _, _ = estimate(codes, counts)
+    order = np.argsort(codes)
+    labels = estimate(codes[order], counts[order])
     share = min(1.0, sample / max(1, counts.sum()))
     chosen = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     fitted = chosen.select("text").mapInArrow(_sample, "code long, dims array<int>, counts array<int>").collect()
     fitted.sort(key=lambda r: (r.code, r.dims, r.counts))
-    w, b = train([np.array(r.dims, np.int64) for r in fitted], [np.array(r.counts, np.float64) for r in fitted], np.array([posterior.get(r.code, 0.5) for r in fitted]))
-    return Model(posterior, w, b)
+    w, b = train([np.array(r.dims, np.int64) for r in fitted], [np.array(r.counts, np.float64) for r in fitted], np.array([labels.posterior.get(r.code, 0.5) for r in fitted]))
+    return Model(labels, w, b)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
@@ -187,7 +215,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     ``votes`` is one of "-", "0", "+" per labeller, ``posterior`` the label model's probability of good by
     the pattern, ``score`` the trained scorer's, and a row is kept from a score of ``keep`` on. Texts without
     words (null, empty) abstain and get the scorer's value for no trigrams; repeated rows are alike. An empty
-    table gives an empty result. Two passes, no shuffle of texts.
+    table gives an empty result; other columns are ignored, whatever their names. Two passes, no shuffle of texts.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, sample))
     signs = np.array(["-", "0", "+"])
@@ -199,7 +227,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
                 found = [describe(t) for t in part.column(1).to_pylist()]
                 s = [round(score(f.trigrams, m.weights, m.bias), 6) for f in found]
                 votes = ["".join(signs[f.votes + 1]) for f in found]
-                posterior = [round(m.posterior.get(_code(f.votes), 0.5), 6) for f in found]
+                posterior = [round(m.labels.posterior.get(_code(f.votes), 0.5), 6) for f in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(votes, pa.string()), pa.array(posterior, pa.float64()), pa.array(s, pa.float64()), pa.array([x >= keep for x in s], pa.bool_())], ["_id", "votes", "posterior", "score", "keep"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -208,7 +236,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier keeps; it filters as it reads, without a join."""
+    """The rows of ``docs``, all columns, that the classifier keeps; it filters as it reads, without a join.
+
+    Null and blank texts abstain, as in ``classify``; repeated rows are alike; an empty table gives an empty one.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, sample))
     at = docs.columns.index(text_col)
 
