@@ -34,7 +34,7 @@ VALUES = 128
 #: Orders and values of the first round, least depth of a region.
 ORDERS, DEPTH, DEPTH_MIN = 16, 8, 3
 #: Orders and values of each further round for crowded documents, rounds in all, and the chance that ends them.
-MORE, DEEP, ROUNDS, MISS = 32, 16, 6, 1e-4
+MORE, DEEP, ROUNDS, MISS = 32, 16, 4, 1e-4
 SIMILAR = 0.8
 REGION = 1024
 LOOSE = 0.60
@@ -276,12 +276,17 @@ def regions(placed: DataFrame) -> DataFrame:
     return fits.union(own).union(first.select("rep", F.xxhash64("region", "part").alias("region"))).distinct()
 
 
+def mixed(rows: DataFrame, by: str, loose: DataFrame) -> DataFrame:
+    """The rows, with a rep, whose region holds documents of different candidate groups; there is nothing to find in others."""
+    rooted = rows.select("rep", by).join(loose.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = rooted.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(by)
+    return rows.join(several, by, "left_semi")
+
+
 def crowded(placed: DataFrame, before: DataFrame | None, loose: DataFrame, number: int) -> DataFrame:
     """(rep, miss): documents for which the rounds so far may miss a pair with more than MISS; miss is the logarithm of the chance."""
     chance = lambda d: F.log(1 - F.pow(F.lit(SIMILAR), d))
-    rows = placed.join(loose.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = rows.groupBy("top").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("top")
-    lost = placed.where(F.col("depth") > DEPTH_MIN).join(mixed, "top", "left_semi").groupBy("rep").agg(F.sum(chance(F.col("depth")) - chance(F.lit(DEPTH_MIN))).alias("lost"))
+    lost = mixed(placed.where(F.col("depth") > DEPTH_MIN), "top", loose).groupBy("rep").agg(F.sum(chance(F.col("depth")) - chance(F.lit(DEPTH_MIN))).alias("lost"))
     if before is not None:
         lost = before.join(lost, "rep", "left")
     else:
@@ -292,10 +297,13 @@ def crowded(placed: DataFrame, before: DataFrame | None, loose: DataFrame, numbe
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(node, root): candidate groups of classes, which have rep and sig; classes alone have no row, and roots none for themselves."""
-    now, before, edges = classes, None, None
+    now, before, edges, loose = classes, None, None, None
     for number in range(ROUNDS):
         placed = place(now, number)
-        inside = regions(placed).join(now.select("rep", "sig"), "rep")
+        inside = regions(placed)
+        if loose is not None:
+            inside = mixed(inside, "region", loose)
+        inside = inside.join(now.select("rep", "sig"), "rep")
         new = inside.repartition("region").sortWithinPartitions("region").mapInArrow(_forest, "a long, b long").distinct()
         edges = durable(new if edges is None else edges.union(new).distinct())
         loose = components(edges)
