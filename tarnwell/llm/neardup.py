@@ -305,8 +305,14 @@ def candidates(classes: DataFrame) -> DataFrame:
             inside = mixed(inside, "region", loose)
         inside = inside.join(now.select("rep", "sig"), "rep")
         new = inside.repartition("region").sortWithinPartitions("region").mapInArrow(_forest, "a long, b long").distinct()
-        edges = durable(new if edges is None else edges.union(new).distinct())
-        loose = components(edges)
+        if edges is None:
+            edges = durable(new)
+            loose = components(edges)
+        else:
+            new = durable(new.join(edges, ["a", "b"], "left_anti"))
+            if not new.isEmpty():
+                edges = edges.union(new)
+                loose = components(edges)
         if number + 1 == ROUNDS or placed.where(F.col("depth") > DEPTH_MIN).isEmpty():
             return loose
         before = durable(crowded(placed, before, loose, number))
@@ -369,10 +375,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = durable(dealt(classes, loose, num, den).join(classes.select("rep", "id", "text_hash"), "rep"))
     texts = join_small(rows.where("text IS NOT NULL"), blocks, ["id", "text_hash"]).select("rep", "text", F.explode("blocks").alias("block"))
     exact = texts.repartition("block").sortWithinPartitions("block").mapInArrow(_exact(width, num, den), "a long, b long")
-    if blocks.where(F.size("blocks") > 1).isEmpty():
-        exact = durable(exact.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")))
-    else:
-        exact = components(exact)
+    exact = components(exact)
     # The smallest id of each component, for its classes.
     found = exact.select("root", F.col("node").alias("rep")).union(exact.select("root", F.col("root").alias("rep")).distinct())
     found = durable(found.join(classes.select("rep", "id"), "rep"))
