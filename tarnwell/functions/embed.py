@@ -114,3 +114,24 @@ def embed(rows: DataFrame, id_col: str, text_col: str, load: Callable[[], Model]
     kind = rows.schema[id_col].dataType.simpleString()
     picked = rows.select(rows[id_col].alias("_id"), rows[text_col].alias("_text"))
     return picked.mapInArrow(run, f"_id {kind}, vector array<float>").withColumnRenamed("_id", id_col)
+
+
+#: Dimensions of known models; others are taken to have 384.
+DIMENSIONS = {"all-MiniLM-L6-v2": 384, "all-mpnet-base-v2": 768, "gte-small": 384, "gte-base": 768}
+
+
+def dimensions(model: str) -> int:
+    return DIMENSIONS.get(model, 384)
+
+
+def decode_floats(rows: DataFrame, id_col: str, blob_col: str) -> DataFrame:
+    """(id, vector) from little-endian 32-bit floats; bytes after the last whole one are dropped, null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [None if b is None else np.frombuffer(b, "<f4", len(b) // 4).tolist() for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32()))], ["_id", "vector"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    picked = rows.select(rows[id_col].alias("_id"), rows[blob_col].alias("_blob"))
+    return picked.mapInArrow(run, f"_id {kind}, vector array<float>").withColumnRenamed("_id", id_col)

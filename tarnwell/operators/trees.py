@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,69 @@ def top_subdirs(files: DataFrame, k: int = 15) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Files from which a directory is described by kinds of files, and from which a flat one is not opened.
+COMPRESS_FROM, LARGE_FROM, SAMPLES = 200, 10_000, 5
+
+
+def light(files: DataFrame, root: str, levels: int = 3) -> DataFrame:
+    """(path, depth, files, subdirs, types) of ``root`` and the directories below it, to ``levels`` levels: own files, children, five commonest extensions."""
+    level = len(root.split("/")) - 1
+    here = (F.col("path") == root) | F.startswith("path", F.lit(f"{root}/"))
+    dirs = files.select(F.explode(ancestors("path")).alias("path")).distinct().where(here).withColumn("depth", depth("path") - level)
+    own = with_dir(files).groupBy(F.col("dir").alias("path")).agg(F.count(F.lit(1)).alias("files"))
+    tops = extension_tops(files).withColumn("_t", F.struct(-F.col("n"), F.col("ext"), F.format_string("%s×%d", "ext", "n").alias("text")))
+    tops = tops.groupBy(F.col("dir").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("_t"))["text"], ",").alias("types"))
+    below = dirs.where("depth > 0").groupBy(parent("path").alias("path")).agg(F.count(F.lit(1)).alias("subdirs"))
+    rows = dirs.where(F.col("depth") < levels).join(own, "path", "left").join(below, "path", "left").join(tops, "path", "left")
+    return rows.select("path", "depth", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("subdirs", F.lit(0)).alias("subdirs"), F.coalesce("types", F.lit("")).alias("types"))
+
+
+def compressed(files: DataFrame, least: int = COMPRESS_FROM, samples: int = SAMPLES) -> DataFrame:
+    """(path, pattern) of directories with over ``least`` files of their own: each extension with its count and first names, by extension."""
+    rows = with_dir(files).select(F.col("dir").alias("path"), "ext", "name")
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("path", "ext").orderBy("name")))
+    names = F.array_join(F.sort_array(F.collect_list(F.when(F.col("_r") <= samples, F.col("name")))), ", ")
+    kinds = ranked.groupBy("path", "ext").agg(F.count(F.lit(1)).alias("n"), names.alias("names"))
+    told = F.array_sort(F.collect_list(F.struct("ext", F.format_string("%s×%d [%s]", "ext", "n", "names").alias("text"))))["text"]
+    return kinds.groupBy("path").agg(F.sum("n").alias("n"), F.array_join(told, "; ").alias("pattern")).where(F.col("n") > least).drop("n")
+
+
+def prompt_lines(files: DataFrame, root: str, levels: int = 4, least: int = COMPRESS_FROM, large: int = LARGE_FROM) -> DataFrame:
+    """(path, line): an indented line for each directory; large ones are told by patterns, and large flat ones are marked to be left alone.
+
+    Sorted by path with a slash appended, the lines are the tree.
+    """
+    some = with_dir(files).withColumn("_r", F.row_number().over(Window.partitionBy("dir").orderBy("name"))).where(F.col("_r") <= SAMPLES)
+    some = some.groupBy(F.col("dir").alias("path")).agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"))
+    rows = light(files, root, levels).join(compressed(files, least), "path", "left").join(some, "path", "left")
+    head = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("📁 "), base_name("path"))
+    count = F.format_string("%d files: %s", "files", "types")
+    leaf = F.when(F.col("pattern").isNotNull(), F.concat(F.lit("  ("), "pattern", F.lit(")"))).otherwise(F.concat(F.lit("  ("), count, F.lit(")"), F.coalesce(F.concat(F.lit("  e.g. "), "names"), F.lit(""))))
+    flat = F.concat(F.lit("  (LARGE FLAT DIR"), F.coalesce(F.concat(F.lit(" — "), "pattern"), F.lit("")), F.lit(" — skip deep listing)"))
+    inner = F.concat(F.lit("/  ("), count, F.format_string(", %d subdirs)", "subdirs"), F.coalesce(F.concat(F.lit(" ["), "pattern", F.lit("]")), F.lit("")))
+    return rows.select("path", F.concat(head, F.when(F.col("subdirs") > 0, inner).when(F.col("files") > large, flat).otherwise(leaf)).alias("line"))
+
+
+def deepen(files: DataFrame, root: str, choose: Callable[[str, list[str]], tuple[list[str], list[str]]], rounds: int = 3) -> list[str]:
+    """Paths of datasets found in up to ``rounds`` rounds.
+
+    ``choose`` gets a directory and its lines and answers with the datasets in it and the directories to look at next, relative
+    ones to it. Lines of one directory and its answers are what the driver holds.
+    """
+    open_, found, seen = [root], [], {root}
+    for _ in range(rounds):
+        below = []
+        for top in open_:
+            lines = [r.line for r in annotated(files, top).orderBy(F.concat("path", F.lit("/"))).collect()]
+            chosen, deeper = ([p if p.startswith("/") else f"{top}/{p}" for p in some] for some in choose(top, lines))
+            found += [p for p in chosen if p not in found]
+            below += [p for p in deeper if p not in seen and not seen.add(p)]
+        open_ = below
+        if not open_:
+            break
+    return found
+
+
 def annotated(files: DataFrame, root: str) -> DataFrame:
     """(path, line): an indented line for each directory at or below ``root`` that a reader has to judge.
 

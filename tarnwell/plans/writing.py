@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwell.functions import formats
-from tarnwell.operators import datasets, endpoints, ingest, projects, search
+from tarnwell.operators import datasets, endpoints, ingest, projects, search, trees
 from tarnwell.plans.queries import PARTS, UP
 from tarnwell.plans.registry import register
 
@@ -243,6 +243,39 @@ def file_contexts(c):
     return rows.select("file_path", F.array_join("directory_tree", "|").alias("directory_tree"), F.array_join("format_tags", "|").alias("format_tags"))
 
 
+TREE = PARTS + """, k as (select dir, ext, count(*) as n, row_number() over (partition by dir order by count(*) desc, ext) as r from extended group by dir, ext),
+own as (select dir as path, count(*) as files from extended group by 1), tops as (select dir as path, string_agg(ext || '×' || n, ',' order by r) filter (r <= 5) as types from k group by 1),
+l as (select path, 2 as depth, files, 0 as subdirs, types from own join tops using (path) union all
+  select '/data/' || lang, 1, 0, count(distinct source), '' from docs group by 1 union all select '/data', 0, 0, count(distinct lang), '' from docs)
+"""
+
+
+@register(TREE + "select * from l")
+def light_tree(c):
+    return trees.light(c.docs, "/data")
+
+
+PATTERN = """, e as (select dir, ext, name, row_number() over (partition by dir, ext order by name) as r from extended),
+m as (select dir as path, ext, count(*) as n, string_agg(name, ', ' order by name) filter (r <= 5) as names from e group by dir, ext),
+pat as (select path, string_agg(ext || '×' || n || ' [' || names || ']', '; ' order by ext) as pattern from m group by path having sum(n) > 20)
+"""
+
+
+@register(PARTS + PATTERN.replace(", e as", ", e as", 1) + "select path, pattern from pat")
+def compressed_dirs(c):
+    return trees.compressed(c.docs, 20)
+
+
+@register(TREE + PATTERN + """, s as (select dir as path, string_agg(name, ', ' order by name) as names from (select dir, name, row_number() over (partition by dir order by name) as r from extended) where r <= 5 group by dir)
+select path, repeat('  ', depth) || '📁 ' || split_part(path, '/', -1) || case
+  when subdirs > 0 then '/  (' || files || ' files: ' || types || ', ' || subdirs || ' subdirs)' || coalesce(' [' || pattern || ']', '')
+  when files > 40 then '  (LARGE FLAT DIR' || coalesce(' — ' || pattern, '') || ' — skip deep listing)'
+  when pattern is not null then '  (' || pattern || ')' else '  (' || files || ' files: ' || types || ')  e.g. ' || names end as line
+from l left join pat using (path) left join s using (path)""")
+def prompt_tree(c):
+    return trees.prompt_lines(c.docs, "/data", 4, 20, 40)
+
+
 # The stored index
 
 FULLTEXT = """, field as (
