@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a small side up to which it may be broadcast; beyond it joins shuffle (and AQE splits skewed keys).
@@ -53,6 +53,20 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: i
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
+def running(rows: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """Add for each name the sum of its column over all rows before, in an order without ties.
+
+    Rows are sorted in range partitions; what lies before a partition comes from the partitions' totals, one row for each.
+    """
+    spread = durable(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumns({f"_{n}": c for n, c in sums.items()}))
+    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = spread.groupBy("_part").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{n}").over(parts), F.lit(0)).alias(f"_{n}_") for n in sums])
+    local = spread.withColumns({n: F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)) for n in sums})
+    return local.join(F.broadcast(totals), "_part").withColumns({n: F.col(n) + F.col(f"_{n}_") for n in sums}).select(*rows.columns, *sums)
+
+
 def rows_of(batch: pa.RecordBatch, size: int = 256, most: int = 1 << 25) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``size`` rows, and of fewer where they pass ``most`` bytes, so that few texts are Python objects at once."""
     for at in range(0, batch.num_rows, size):

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import durable, join_small
+from tarnwell.llm.common import durable, join_small, running
 
 BITS = 10
 LEVELS = 3
@@ -30,22 +30,20 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
 
     The weights repeat over the sources in code point order, null last. A target stops at ``cap``
     times its source's words and the excess goes to the others by weight until none is above.
-    In order of cap / weight the capped sources are a prefix, so running sums replace the loop.
-    The windows see one row per source, never one per document.
+    In order of cap / weight the capped sources are a prefix, so running sums replace the loop. They are taken over range
+    partitions, so sources may be as many as documents; only totals of all sources reach the driver.
     """
-    everything = Window.partitionBy(F.lit(0))
-    by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    k = len(weights)
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % k + 1).cast("int"))
-    t = sources.withColumn("weight", pick).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    t = t.withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-    before = Window.partitionBy(F.lit(0)).orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    used, gone = F.coalesce(F.sum("most").over(before), F.lit(0.0)), F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    t = t.withColumn("used", used).withColumn("open", F.sum("weight").over(everything) - gone)
-    t = t.withColumn("capped", F.col("most") * F.col("open") <= (F.col("budget") - F.col("used")) * F.col("weight"))
-    left = F.col("budget") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("most"))).over(everything), F.lit(0.0))
-    rest = F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything)
-    return t.withColumn("target", F.when(F.col("capped"), F.col("most")).otherwise(left * F.col("weight") / rest)).select("source", "source_size", "target")
+    all_words = sources.agg(F.sum("source_size")).first()[0] or 0
+    ranked = running(sources, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    t = ranked.select("source", "source_size", pick.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most"))
+    t = running(t, [F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()], {"used": F.col("most"), "gone": F.col("weight")})
+    all_weight = t.agg(F.sum("weight")).first()[0] or 0.0
+    budget = F.lit(float(all_words) * float(share))
+    t = durable(t.withColumn("capped", F.col("most") * (F.lit(all_weight) - F.col("gone")) <= (budget - F.col("used")) * F.col("weight")))
+    spent, rest = t.agg(F.sum(F.when(F.col("capped"), F.col("most"))), F.sum(F.when(~F.col("capped"), F.col("weight")))).first()
+    level = (budget - F.lit(spent or 0.0)) / F.lit(rest or 1.0)
+    return t.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(level * F.col("weight")).alias("target"))
 
 
 def _place(doc_id: Column, seed: int) -> Column:
@@ -72,7 +70,7 @@ def mix(
     ``taken`` is the words that the mix takes of the document, repeats counted: always a whole
     multiple of its size, at most ceil(cap) times it. A source's taken words end within one last
     hash bucket of its target. Null texts have size 0; null is a source of its own, ordered last;
-    rows that repeat an id are taken alike; an empty table gives an empty result. Reruns agree,
+    rows that repeat an id are taken alike; an empty table gives an empty result; other columns are ignored, whatever their names. Reruns agree,
     as places depend on ids and ``seed`` alone.
     """
     sized = durable(_sized(docs, id_col, text_col, source_col, seed))
