@@ -92,7 +92,8 @@ def take(
 ) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, as often as ``mix`` takes them.
 
-    Rows without words cost nothing and are taken once. Each row is decided by its own source, id and words
+    Rows without words (null and blank texts) cost nothing and are taken once. Null is a source of its own; repeated rows are decided
+    alike; an empty table gives an empty one; columns of any name pass through. Each row is decided by its own source, id and words
     as it is read; only the plan, one row per source, is joined to it.
     """
     sized = durable(_sized(docs, id_col, text_col, source_col, seed))

@@ -15,7 +15,7 @@ from tarnwell.llm import ann, bpe, linedup, mixing, neardup, packing, quality, s
 from tarnwell.llm.components import components
 
 DOCS = "doc_id long, text string, source string, id long, uid string, row string, n int, size int, place int, _text string, n_lines int, keep int, sig int"
-TEXTS = [None, "", "  \n\t ", "one", "same words here and there", "same words here and there", "word " * 30_000, "Line of text that is long enough.\nLine of text that is long enough.", "é" * 5000]
+TEXTS = [None, "", "  \n\t ", "one", "same words here and there", "same words here and there", "word " * 30_000, "Line of text that is long enough.\nLine of text that is long enough.", "é" * 5000, "a" + " " * 1_200_000 + "b", "x" * 1_200_000]
 
 
 def edge(spark, texts=TEXTS):
@@ -42,7 +42,7 @@ def test_edge_rows(spark, name):
     docs = edge(spark)
     got = OPERATORS[name](docs).collect()
     if name == "pack":
-        assert {r.doc_id for r in got if r.piece == 0} == {None, *range(9)} - {3}
+        assert {r.doc_id for r in got if r.piece == 0} == {None, *range(11)} - {3}
     else:
         assert len(got) == docs.count()
     assert OPERATORS[name](docs.limit(0)).count() == 0
@@ -130,10 +130,12 @@ def test_op1_against_brute_force(spark, tmp_path):
 # Mixing
 
 
-def test_mix_targets_match_the_loop(spark):
+def test_mix_targets_match_the_loop(spark, tmp_path):
+    from tarnwell.llm import queries
+
     rng = random.Random(4)
     rows = [(i, " ".join("w" * rng.randint(1, 40)) if i % 50 else None, rng.choice(["a", "a", "a", "b", "c", "d", "Z", None])) for i in range(600)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = queries.op2_mix(spark, folder_of(spark, tmp_path, rows)).collect()
     size = collections.Counter()
     name = {i: s for i, _, s in rows}
     for r in got:
@@ -539,10 +541,15 @@ def test_best_fit_keeps_every_capacity(score):
         assert (np.cumsum(n[mine][order]) - n[mine][order] == offsets[mine][order]).all()
 
 
-def test_packed_pieces_are_whole(spark):
+@pytest.mark.parametrize("group", [packing.GROUP, 40])
+def test_packed_pieces_are_whole(spark, tmp_path, monkeypatch, group):
+    """The registered query against the library, piece by piece, in one group and in several."""
+    from tarnwell.llm import queries
+
+    monkeypatch.setattr(packing, "GROUP", group)
     texts = odd_texts(200, 11) + ["word " * 3000, None]
     rows = [(i, t) for i, t in enumerate(texts)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    got = queries.op8_pack(spark, folder_of(spark, tmp_path, [(i, t, "s") for i, t in rows])).collect()
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     by = collections.defaultdict(list)
     for r in got:
@@ -559,7 +566,18 @@ def test_packed_pieces_are_whole(spark):
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == used[r.sequence_id]
         used[r.sequence_id] += r.length
-    assert max(used.values()) <= 1024 and len(used) <= math.ceil(sum(used.values()) / 1024) + 1
+    assert max(used.values()) <= 1024 and len(used) <= math.ceil(sum(used.values()) / 1024) + (1 if group > 1000 else len(got) // group + 1)
+
+
+def test_op10_against_the_library(spark, tmp_path):
+    from tarnwell.llm import queries
+
+    texts = [None, "", *odd_texts(400, 12), "word " * 3000, *(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50).collect())]
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op10_token_counts(spark, folder_of(spark, tmp_path, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        assert got[i] == (len((t or "").encode()), n, n > 2048)
 
 
 # Surrogates
@@ -660,6 +678,21 @@ def test_every_name_of_a_pool_as_original(spark):
     assert len(set(got)) == len(family) and not set(got) & set(family)
 
 
+def test_op9_against_one_text_at_a_time(spark, tmp_path):
+    """The registered query: each entity's replacement computed alone, where no two names share one; all other text as it was."""
+    from tarnwell.llm import queries
+
+    key = queries.SURROGATE_KEY
+    texts = [None, "", "No one here.", "Write to jane.doe@example.org or +1 (988) 555-2485.", "Card 4111 1111 1111 1111, account 4785380592391130, 123-45-6789, host 10.1.2.3.", "Mr John Zimmer called; Zimmer and jane.doe@example.org."]
+    for r in queries.op9_surrogates(spark, folder_of(spark, tmp_path, [(i, t, "s") for i, t in enumerate(texts)])).collect():
+        t, out, at = texts[r.doc_id], [], 0
+        for e in surrogates.find(t):
+            out += [t[at : e.start], surrogates.surrogate(key, e.kind, t[e.start : e.end], e.group)]
+            at = e.end
+        assert r.text == (None if t is None else "".join(out) + t[at:])
+        assert [r[f"n_{k}"] for k in surrogates.KINDS] == [sum(e.kind == k for e in surrogates.find(t)) for k in surrogates.KINDS]
+
+
 def test_many_exceptions_travel_with_their_documents(spark, monkeypatch):
     texts = [f"Mr John Smith{c} met Dr Zed Smith{c}." for c in "abcdefghijklmnopqrstuvwxyz"] + [None, "Mr Zed came."]
     want = replaced(spark, texts)
