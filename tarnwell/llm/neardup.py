@@ -13,7 +13,7 @@ Copies with equal shingle sets are one class from the start. A pair at the thres
 all 16 orders at three values with a probability of (1 - 0.8**3)**16 = 1e-5, and falls below LOOSE by chance with
 one of 1e-7. A greater depth finds such a pair less often. So documents whose regions were cut so
 deep that a pair may be missed with more than MISS go through further rounds of 32 other orders of up to 16 values,
-until the product of their chances is below MISS or ROUNDS are over. A cut costs nothing where all documents of the
+until the product of their chances is below MISS. A cut costs nothing where all documents of the
 region are in one candidate group already, as large families of near copies are.
 
 The full check covers every pair within a candidate group. Groups of more than GROUP different documents are dealt by size
@@ -33,8 +33,9 @@ from tarnwell.llm.components import components, hot_from, with_value
 VALUES = 128
 #: Orders and values of the first round, least depth of a region.
 ORDERS, DEPTH, DEPTH_MIN = 16, 8, 3
-#: Orders and values of each further round for crowded documents, rounds in all, and the chance that ends them.
-MORE, DEEP, ROUNDS, MISS = 32, 16, 4, 1e-4
+#: Orders and values of each further round for crowded documents, and the chance that ends them. At full depth a round takes at least
+#: a factor of (1 - 0.8**16)**32 = 0.4 from the chance, so there are at most eleven.
+MORE, DEEP, MISS = 32, 16, 1e-4
 SIMILAR = 0.8
 REGION = 1024
 LOOSE = 0.60
@@ -298,7 +299,8 @@ def crowded(placed: DataFrame, before: DataFrame | None, loose: DataFrame, numbe
 def candidates(classes: DataFrame) -> DataFrame:
     """(node, root): candidate groups of classes, which have rep and sig; classes alone have no row, and roots none for themselves."""
     now, before, edges, loose = classes, None, None, None
-    for number in range(ROUNDS):
+    number = 0
+    while True:
         placed = place(now, number)
         inside = regions(placed)
         if loose is not None:
@@ -313,13 +315,13 @@ def candidates(classes: DataFrame) -> DataFrame:
             if not new.isEmpty():
                 edges = edges.union(new)
                 loose = components(edges)
-        if number + 1 == ROUNDS or placed.where(F.col("depth") > DEPTH_MIN).isEmpty():
+        if placed.where(F.col("depth") > DEPTH_MIN).isEmpty():
             return loose
         before = durable(crowded(placed, before, loose, number))
         if before.isEmpty():
             return loose
         now = durable(classes.join(before.select("rep"), "rep", "left_semi"))
-    return loose
+        number += 1
 
 
 def dealt(classes: DataFrame, loose: DataFrame, num: int, den: int) -> DataFrame:

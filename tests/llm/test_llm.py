@@ -288,18 +288,21 @@ def test_crowded_orders_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 12)
     monkeypatch.setattr(neardup, "GROUP", 16)
     rng = random.Random(21)
-    shared = [f"common{i}" for i in range(45)]
+    rounds, place = [], neardup.place
+    monkeypatch.setattr(neardup, "place", lambda rows, number: rounds.append(number) or place(rows, number))
+    shared = [f"common{i}" for i in range(54)]
     docs = []
-    for f in range(60):
-        own = [f"f{f}w{i}" for i in range(35)]
+    for f in range(130):
+        own = [f"f{f}w{i}" for i in range(26)]
         for _ in range(rng.choice([1, 2, 3])):
             w = shared + own
-            w[rng.randrange(len(w))] = f"new{len(docs)}"
+            for _ in range(rng.choice([0, 1, 1])):
+                w[rng.randrange(len(w))] = f"new{len(docs)}"
             docs.append((rng.randrange(10**6), " ".join(w + [f"tail{len(docs)}"] * rng.randint(0, 3))))
     got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     want = {d: c for (d, _), c in zip(docs, linked(docs))}
     wrong = sum(want[r.doc_id] != r.component_id for r in got)
-    assert len(set(want.values())) > 50 and wrong == 0
+    assert len(set(want.values())) > 100 and len(set(want.values())) < len(docs) - 30 and max(rounds) > 0 and wrong == 0
 
 
 def test_runs_cross_partitions(spark, monkeypatch):
