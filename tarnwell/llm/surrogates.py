@@ -60,7 +60,9 @@ POOLS = {
 GENDERS = {name.casefold(): g for (_, g), names in POOLS.items() if g in "mf" for name in names} | dict.fromkeys("john james william peter michael david".split(), "m") | dict.fromkeys("mary elizabeth susan linda sarah jane".split(), "f")
 #: Listed given names, as they are written and in capitals.
 GIVEN = [n.title() for n in GENDERS] + [n for (_, g), names in POOLS.items() if g in "mf" for n in names]
-LISTED = re.compile(r"(?<![\w-])(?:" + "|".join(sorted({form for n in GIVEN for form in (n, n.upper())}, key=len, reverse=True)) + r")(?![\w'’])")
+LISTED = frozenset(form for n in GIVEN for form in (n, n.upper()))
+#: Words with a capital first, each looked up among the listed ones; far faster than one pattern of all names.
+CAPITAL = re.compile(r"(?<![\w-])[A-ZÀ-ÞΆ-ΫЀ-Я][^\W\d_]+(?![\w'’])")
 
 
 class Entity(NamedTuple):
@@ -126,9 +128,8 @@ def names(text: str) -> list[Entity]:
                 at = again.end()
             if words := name_words(text, at):
                 add(words, TITLES[m[1]])
-    for m in LISTED.finditer(text):
-        words = name_words(text, m.start())
-        if len(words) > 1:
+    for m in CAPITAL.finditer(text):
+        if m[0] in LISTED and len(words := name_words(text, m.start())) > 1:
             add(words, None)
     return out
 
