@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -46,6 +47,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which a driver with memory to spare puts off while disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join with a broadcast hint only if ``small`` was counted and is within BROADCAST_ROWS; a shuffle join otherwise."""
     if rows is None:

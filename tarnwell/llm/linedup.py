@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import Rolling, durable, join_small, mix64
+from tarnwell.llm.common import Rolling, durable, join_small, mix64, release
 
 MIN_CHARS = 1
 NEAR_CHARS = 10
@@ -179,6 +179,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = durable(number(classes))
     near = near_lines(classes, lines)
     near = durable(classes.select("cls", "d1", "d2").join(near, "cls").select("d1", "d2", F.lit(True).alias("near")))
+    release(docs.sparkSession)
     # Only classes with several lines, or near an earlier one, drop anything.
     acting = classes.where("n > 1").select("d1", "d2", F.col("uid").alias("u0"), F.col("no").alias("n0")).join(near, ["d1", "d2"], "full")
     drops = lines.select("d1", "d2", "id", "uid", "no").join(acting, ["d1", "d2"])

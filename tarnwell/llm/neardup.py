@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import Rolling, durable, groups, join_small, mix64, rows_of
+from tarnwell.llm.common import Rolling, durable, groups, join_small, mix64, release, rows_of
 from tarnwell.llm.components import components, hot_from, with_value
 
 VALUES = 128
@@ -315,6 +315,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             if not new.isEmpty():
                 edges = edges.union(new)
                 loose = components(edges)
+        release(edges.sparkSession)
         if placed.where(F.col("depth") > DEPTH_MIN).isEmpty():
             return loose
         before = durable(crowded(placed, before, loose, number))
@@ -378,6 +379,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = join_small(rows.where("text IS NOT NULL"), blocks, ["id", "text_hash"]).select("rep", "text", F.explode("blocks").alias("block"))
     exact = texts.repartition("block").sortWithinPartitions("block").mapInArrow(_exact(width, num, den), "a long, b long")
     exact = components(exact)
+    release(docs.sparkSession)
     # The smallest id of each component, for its classes.
     found = exact.select("root", F.col("node").alias("rep")).union(exact.select("root", F.col("root").alias("rep")).distinct())
     found = durable(found.join(classes.select("rep", "id"), "rep"))
