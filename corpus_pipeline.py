@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm import linedup, mixing, neardup, packing, quality
-from tarnwell.llm.common import durable, join_small, remove, shared_folder, table
+from tarnwell.llm.common import durable, join_small, release, remove, shared_folder, table
 
 #: No SQL expresses a trained classifier, hash thresholds or best-fit packing; tests compare with brute force.
 ORACLE_SQL = None
@@ -49,6 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     whole = table(spark, sf_dir, "documents").select("doc_id", "text")
     first = neardup.near_duplicates(whole, width=5, only=_unchanged(docs, whole)).where("NOT kept").select(F.col("doc_id").alias("id"))
     first = durable(hashes.join(first, "id", "left_semi").distinct())
+    release(spark)
     left = hashes.join(first.select("id"), "id", "left_anti").select("id").distinct()
     second = neardup.near_duplicates(docs.select("doc_id", "text"), width=5, text_hash=True, only=left).where("NOT kept").select(F.col("doc_id").alias("id"), "text_hash")
     gone = durable(first.union(second.distinct()).toDF("of", "hash"))
