@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,10 +51,13 @@ def durable(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of jobs that nothing refers to any more.
 
-    Its cleaner follows the driver's garbage collection, which a driver with memory to spare puts off while disks fill.
+    Its cleaner follows the driver's garbage collection, which a driver with memory to spare puts off while disks fill. It works
+    on its own, so it gets a moment, and a second pass for what the first one set free.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:

@@ -315,6 +315,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             if not new.isEmpty():
                 edges = edges.union(new)
                 loose = components(edges)
+        inside = new = None  # they hold what their jobs shuffled
         release(edges.sparkSession)
         if placed.where(F.col("depth") > DEPTH_MIN).isEmpty():
             return loose
@@ -374,11 +375,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A class is its digest; its number stands for it everywhere, and one of its rows gives the text.
     classes = linked.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "text_hash")).alias("at"), F.first("sig").alias("sig"))
     classes = durable(classes.select("d1", "d2", "n", "at.id", "at.text_hash", "sig", F.monotonically_increasing_id().alias("rep")))
+    release(docs.sparkSession)
     loose = candidates(classes)
     blocks = durable(dealt(classes, loose, num, den).join(classes.select("rep", "id", "text_hash"), "rep"))
     texts = join_small(rows.where("text IS NOT NULL"), blocks, ["id", "text_hash"]).select("rep", "text", F.explode("blocks").alias("block"))
     exact = texts.repartition("block").sortWithinPartitions("block").mapInArrow(_exact(width, num, den), "a long, b long")
     exact = components(exact)
+    texts = None
     release(docs.sparkSession)
     # The smallest id of each component, for its classes.
     found = exact.select("root", F.col("node").alias("rep")).union(exact.select("root", F.col("root").alias("rep")).distinct())
