@@ -394,7 +394,8 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    names = rows.select("_text").mapInArrow(_entities, "group string, value string").distinct()
+    # Used several times below, and found by reading all texts.
+    names = durable(rows.select("_text").mapInArrow(_entities, "group string, value string").distinct())
     moved = durable(settle(names, key))
     out = f"_id {kind}, " + ", ".join(f"n_{k} int" for k in KINDS) + ", _text string"
     if moved.count() <= BROADCAST_ROWS:
