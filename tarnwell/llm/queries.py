@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import ann, linedup, mixing, neardup, packing, quality, secrets, surrogates, telephony, tokencount
+from tarnwell.llm import ann, conversations, language, linedup, mixing, neardup, packing, quality, resampling, secrets, surrogates, telephony, tokencount
 from tarnwell.llm.common import table
 
 #: Key of the surrogates of op9; a parameter of the operator, kept apart from the data in production.
@@ -66,6 +66,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))).select("text", "lang"))
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digests(conversations.damage(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,12 +89,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_secrets, op2_mix, op3_line_dedup, op4_near_dedup, op5_nearest, op6_quality, op7_telephony, op8_pack, op9_surrogates, op10_token_counts, pipeline)
+    ops = (op1_secrets, op2_mix, op3_line_dedup, op4_near_dedup, op5_nearest, op6_quality, op7_telephony, op8_pack, op9_surrogates, op10_token_counts, op11_resample, op12_language, op13_repair, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL, "op4_near_dedup": NEAR_DEDUP_SQL, "op5_nearest": NEAREST_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op4_near_dedup": NEAR_DEDUP_SQL, "op5_nearest": NEAREST_SQL, "op11_resample": RESAMPLE_SQL, "op13_repair": REPAIR_SQL}
 
 
 #: Exact classes of lines, pairs that share a half (as any two lines within one edit do), and their edit distance.
@@ -137,3 +153,88 @@ with v as (
 ), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
 select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
 """
+
+#: A CRC-32 by bytes, from a table of 256 that is made by its rule: ``t`` is the table.
+_CRC_TABLE = "select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+#: Words of both tables, totals by bucket, gains, scores and ranks.
+RESAMPLE_SQL = rf"""
+with crc as ({_CRC_TABLE}),
+own as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+goal as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+counted as (select r, w, count(*) as k from (select r, unnest(w) as w from own) group by r, w),
+source as (select w, sum(k) as k from counted group by w),
+target as (select w, count(*) as k from (select unnest(w) as w from goal) group by w),
+words as (select w, {_CRC} % 10000 as bucket from (select w, hex(encode(w)) as h from (select w from source union select w from target)), crc),
+s as (select bucket, cast(sum(k) as double) as s from source join words using (w) group by bucket),
+t as (select bucket, cast(sum(k) as double) as t from target join words using (w) group by bucket),
+sums as (select coalesce((select sum(s) from s), 0) + 10000 as s_all, coalesce((select sum(t) from t), 0) + 10000 as t_all),
+gain as (select s.bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1) * s_all / ((s + 1) * t_all))) as bigint) as gain from s left join t using (bucket), sums),
+weighed as (select r, cast(sum(k * gain) as bigint) as weight from counted join words using (w) join gain using (bucket) group by r),
+scored as (
+  select own.r, doc_id, cast(len(w) as bigint) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::varchar, '')), 8))::bigint + 0.5::double) / 4294967296::double))) as bigint) as score
+  from own left join weighed on own.r = weighed.r
+), placed as (select *, row_number() over (order by score desc, doc_id nulls last, n_features, weight) as place, 10 * count(*) over () // 100 as drawn from scored where n_features >= 20)
+select scored.doc_id, scored.n_features, scored.weight, scored.score, case when place <= drawn then place end as rank from scored left join placed on scored.r = placed.r
+"""
+
+_BEST = "list_sort([{}])[1]"
+
+
+def _then(state: str, cost: str, letters: str, said: str = "''") -> str:
+    return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letters}', t := {state}.t || {said})"
+
+
+def _said(role: str, text: str) -> str:
+    return f"chr(10) || {role} || ':' || {text}"
+
+
+_USER, _ASSISTANT = _said("'user'", "''"), _said("'assistant'", "''")
+_INSERTED = f"""e, s,
+  {_BEST.format(', '.join(['u', _then('e', '3', 'I', _USER), _then('s', '3', 'I', _USER), _then('a', '3', 'I', _USER)]))} as u,
+  {_BEST.format(', '.join(['a', _then('u', '3', 'I', _ASSISTANT), _then('e', '6', 'II', _USER + ' || ' + _ASSISTANT), _then('s', '6', 'II', _USER + ' || ' + _ASSISTANT)]))} as a"""
+
+
+def _keep(state: str, when: str, cost: str, letter: str, role: str) -> str:
+    return f"case when {when} then {_then(state, cost + ' + more', letter, _said(role, 'text'))} else never end"
+
+
+_FREE, _OWN = "fault not in ('blank', 'duplicate')", "role"
+
+#: Damage, faults, and the cheapest edits row by row: the best of each state before, as cost, audit and what it says.
+REPAIR_SQL = rf"""
+with recursive crc as ({_CRC_TABLE}),
+plain as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) as h from conversations),
+drawn as (select plain.*, {_CRC} % 20 as op from plain, crc),
+damaged as (
+  select conv_id, turn, case op when 4 then 'user' else role end as role, case op when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from drawn, range(case op when 0 then 0 when 3 then 2 else 1 end)
+), ordered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, 
+    lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, text) as before, left(role, 1) as initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as visible
+  from damaged
+), faults as (
+  select *, row_number() over (partition by conv_id, role, text order by i) as seen, case when visible = '' then 'blank' when seen > 1 then 'duplicate' when right(visible, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from ordered
+), counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (i > 1 and before || initial not in ('su', 'ua', 'au')) as illegal from faults group by conv_id
+), steps as (
+  select *, case fault when 'truncated' then 3 else 0 end as more, struct_pack(c := 1000000000::bigint, a := '', t := '') as never from faults
+), best as (
+  select conv_id, 0::bigint as i, struct_pack(c := 0::bigint, a := '', t := '') as e, x as s, x as u, x as a
+  from (select distinct conv_id, struct_pack(c := 1000000000::bigint, a := '', t := '') as x from conversations)
+  union all
+  select conv_id, i, {_then('e', '4', 'D')} as e,
+    {_BEST.format(', '.join([_then('s', '4', 'D'), _keep('e', _FREE + " and initial = 's'", '0', 'K', _OWN)]))} as s,
+    {_BEST.format(', '.join([_then('u', '4', 'D'), *[_keep(x, _FREE + " and initial = 'u'", '0', 'K', _OWN) for x in 'esa'], *[_keep(x, _FREE, '3', 'R', "'user'") for x in 'esa']]))} as u,
+    {_BEST.format(', '.join([_then('a', '4', 'D'), _keep('u', _FREE + " and initial = 'a'", '0', 'K', _OWN), _keep('u', _FREE, '3', 'R', "'assistant'")]))} as a
+  from (select steps.*, {', '.join(f'b.{x}' for x in 'esua')} from (select conv_id, i, {_INSERTED} from best) b join steps on steps.conv_id is not distinct from b.conv_id and steps.i = b.i + 1)
+), ends as (
+  select conv_id, {_BEST.format('e, a')} as z from (select conv_id, i, {_INSERTED} from best) qualify i = max(i) over (partition by conv_id)
+)
+select ends.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  z.c as cost, z.a as audit, sha256(substr(z.t, 2)) as repaired_sha256
+from ends left join counts on counts.conv_id is not distinct from ends.conv_id
+"""
