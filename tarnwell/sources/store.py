@@ -27,7 +27,7 @@ NEEDED = ("dataset", "asset", "asset_file", "files")
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """Where derived tables of a session can be kept: ``spark.checkpoint.dir``, or on one machine a temporary folder."""
+    """Where derived tables of a session can be kept: ``spark.checkpoint.dir``, or on one machine a temporary folder. It goes when the session ends."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
@@ -35,7 +35,24 @@ def scratch_folder(spark: SparkSession) -> str:
             raise Unavailable("set spark.checkpoint.dir to a folder that all machines share")
         folder = _temporary.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
         _temporary[context.applicationId] = folder
-    return f"{folder}/tarnwell-{context.applicationId}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    own = f"{folder}/tarnwell-{context.applicationId}"
+    path, fs = on_files(spark, own)
+    fs.deleteOnExit(path)
+    return own
+
+
+def on_files(spark: SparkSession, path: str):
+    """(path, file system) as Hadoop has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder with all in it, if it is there."""
+    path, fs = on_files(spark, folder)
+    fs.delete(path, True)
 
 
 _temporary: dict[str, str] = {}

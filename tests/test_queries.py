@@ -1,7 +1,7 @@
 import oracle
 import pytest
 
-from tarnwell.plans import enrichment, queries, writing  # noqa: F401 - registers queries
+from tarnwell.plans import enrichment, inferring, queries, writing  # noqa: F401 - registers queries
 from tarnwell.plans.registry import QUERIES, SQL
 
 
