@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.operators.fulltext import TextIndex
-from tarnwell.sources.store import scratch_folder
+from tarnwell.sources.store import fingerprint, scratch_folder
 
 EXTENSIONS = (".fastq.gz", ".bam", ".vcf.gz", ".csv", ".h5", ".gtf", "_R1.fq", ".txt")
 
@@ -98,8 +96,8 @@ class Catalogue:
 
     @property
     def text_index(self) -> TextIndex:
-        """The documents' full-text index, built when it is first asked for in a session."""
-        index = TextIndex(self.spark, f"{scratch_folder(self.spark)}/text-{hashlib.sha256(self.dir.encode()).hexdigest()[:16]}")
+        """The documents' full-text index, built when these files are first asked for in a session: files written anew get an index of their own."""
+        index = TextIndex(self.spark, f"{scratch_folder(self.spark)}/text-{fingerprint(self.spark, f'{self.dir}/documents.parquet')[:16]}")
         if not index.built():
             index.rebuild(self.indexed)
         return index

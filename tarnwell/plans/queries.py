@@ -278,20 +278,25 @@ def bm25_scan(c):
     return search.bm25(c.docs, "apache thing")
 
 
-@register(""", q as (select embedding as v from embeddings where vec_id = 0)
+def _first(vectors) -> list[float]:
+    """The vector of the smallest id; none without vectors."""
+    row = vectors.orderBy("id").first()
+    return list(row["vector"]) if row else []
+
+
+@register(""", q as (select embedding as v from embeddings order by vec_id limit 1)
 select vec_id as id, round(list_cosine_similarity(embedding::double[], v::double[]), 5) as similarity from embeddings, q order by 2 desc, 1 limit 20""")
 def cosine_topk(c):
     vectors = c.read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return search.nearest(vectors, list(vectors.where("id = 0").first()["vector"]))
+    return search.nearest(vectors, _first(vectors))
 
 
-@register(WORDS + """, q as (select embedding as v from embeddings where vec_id = 0)
+@register(WORDS + """, q as (select embedding as v from embeddings order by vec_id limit 1)
 select doc_id, round(0.6 * score / greatest((select max(score) from hits), 1.0) + 0.4 * coalesce(list_cosine_similarity(embedding::double[], v::double[]), 0), 5) as score
 from hits left join embeddings on vec_id = doc_id, q order by 2 desc, 1 limit 20""")
 def hybrid_rerank(c):
     vectors = c.read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    query = list(vectors.where("id = 0").first()["vector"])
-    return search.rerank(c.text_index.search("apache thing"), vectors, query)
+    return search.rerank(c.text_index.search("apache thing"), vectors, _first(vectors))
 
 
 @register(WORDS + "select doc_id, term, count(*) as tf from (select id as doc_id, unnest(w) as term from words) group by all")

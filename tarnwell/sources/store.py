@@ -6,6 +6,7 @@ that fails or is repeated leaves readers on the version before. One writer at a
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.errors import AnalysisException
@@ -49,6 +50,18 @@ def on_files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of all files at a path; another one whenever a table there was written anew."""
+    at, fs = on_files(spark, path)
+    if not fs.exists(at):
+        return hashlib.sha256(path.encode()).hexdigest()
+    seen, found = fs.listFiles(at, True), []
+    while seen.hasNext():
+        f = seen.next()
+        found.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join([path, *sorted(found)]).encode()).hexdigest()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Remove a folder with all in it, if it is there."""
     path, fs = on_files(spark, folder)
