@@ -1,14 +1,18 @@
 """A stored full-text index over metadata, path and tags, in segments of plain Parquet.
 
-A segment holds postings sorted by term, the terms' document frequencies, field statistics and the ids that it puts or deletes. Postings
-are range-partitioned by (term, document), so a search reads the row groups of its terms only and a frequent term spreads
-over files. An id in a later segment hides what earlier ones have of it. Segments count once the manifest names them,
-which is written last. One writer at a time.
+Documents fall into blocks by their ids. A segment has one row for each term, field and block: how many documents, their largest frequency and
+least length, and the documents with frequency, length and positions, sorted by term. A search first reads only the
+figures of its terms' blocks, which bound what any document of a block can score, then the documents of the best blocks, and then of those others whose
+bound reaches the k-th score found so far. A frequent word's blocks are thus skipped where a rare word decides.
+
+An id in a later segment hides what earlier ones have of it; a segment lists what it hides. Segments count once the manifest names them,
+which is written last. Of more than ``MOST`` segments all but the first are merged. One writer at a time.
 """
 
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +20,17 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.text import tokens
 from tarnwell.operators.search import B, K1, Query, parse
-from tarnwell.sources.store import Unavailable
+from tarnwell.sources.store import Unavailable, remove
 
 FIELDS = ("metadata", "path", "tags")
+#: Ids of a block, as a power of two.
+BLOCK_BITS = 10
+#: A search first reads blocks with so many documents of their rarest term for each that it is asked for, and so many blocks at most.
+FIRST_DOCS, FIRST_BLOCKS = 4, 256
+#: Segments of an index before they are merged.
+MOST = 8
+
+_DOCS = "id long, metadata string, path string, tags array<string>"
 
 
 def field_terms(docs: DataFrame) -> DataFrame:
@@ -29,6 +41,14 @@ def field_terms(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("length").alias("length"))
 
 
+def blocks(terms: DataFrame) -> DataFrame:
+    """(term, field, block, n, most, least, docs): terms of documents packed by blocks of ids, of which each holds at most 2**BLOCK_BITS documents."""
+    rows = terms.withColumn("block", F.shiftright("doc_id", BLOCK_BITS))
+    return rows.groupBy("term", "field", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length", "positions"))).alias("docs"),
+    )
+
+
 def field_stats(docs: DataFrame) -> DataFrame:
     """(field, docs, total): how many documents there are, and tokens of each field."""
     size = lambda f: F.coalesce(F.sum(F.greatest(F.size(tokens(F.concat_ws(" ", f) if f == "tags" else F.col(f))), F.lit(0))), F.lit(0))
@@ -36,49 +56,69 @@ def field_stats(docs: DataFrame) -> DataFrame:
     return one.select("docs", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias("total")) for f in FIELDS])).alias("s")).select("s.field", "docs", "s.total")
 
 
+class Read(NamedTuple):
+    """What a search read: blocks of its terms, and of those, blocks whose documents were read."""
+
+    all: int
+    opened: int
+
+
 class TextIndex:
-    """``put`` and ``delete`` write segments that ``commit`` makes visible; ``search`` reads the terms of a query only.
+    """``put`` and ``delete`` write segments that ``commit`` makes visible; ``search`` reads what its terms need.
 
-    Frequencies and lengths count hidden documents until the next ``rebuild``, as is usual for segmented indexes.
+    Frequencies and lengths count hidden documents until segments are merged or rebuilt, as is usual for segmented indexes.
     """
 
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False) -> None:
         self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
         self._pending: list[str] = []
+        #: Of the last search.
+        self.read: Read | None = None
 
-    def _segments(self) -> list[str]:
+    def _manifest(self):
         try:
-            row = self.spark.read.parquet(f"{self.root}/manifest").orderBy(F.desc("version")).first()
+            return self.spark.read.parquet(f"{self.root}/manifest").orderBy(F.desc("version")).first()
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
-                return []
+                return None
             raise
-        return list(row.segments)
+
+    def _segments(self) -> list[str]:
+        row = self._manifest()
+        return list(row.segments) if row else []
+
+    def applied(self) -> int:
+        """The number of the last batch that a commit was given; -1 before the first."""
+        row = self._manifest()
+        return -1 if row is None or row.batch is None else row.batch
 
     def _read(self, segments: list[str], table: str) -> DataFrame:
-        """A table of all segments, with the number of each row's segment."""
-        names = F.array(*[F.lit(s) for s in segments])
+        """A table of all segments, with each row's segment."""
         rows = self.spark.read.parquet(*[f"{self.root}/{s}/{table}" for s in segments])
         own = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)
-        return rows.withColumn("segment", F.array_position(names, own)) if len(segments) > 1 else rows.withColumn("segment", F.lit(1))
+        return rows.withColumn("segment", own if len(segments) > 1 else F.lit(segments[0]))
 
-    def _write(self, docs: DataFrame | None, gone: DataFrame | None) -> str:
+    def _check(self) -> None:
         if self.read_only:
             raise Unavailable("opened for reading")
-        name = f"s-{uuid.uuid4().hex}"
-        at = f"{self.root}/{name}"
+
+    def _write(self, docs: DataFrame | None, gone: DataFrame | None) -> str:
+        self._check()
         if docs is None:
-            docs = self.spark.createDataFrame([], "id long, metadata string, path string, tags array<string>")
+            docs = self.spark.createDataFrame([], _DOCS)
         # The last row of a repeated id counts, by its texts.
         docs = docs.groupBy(F.col("id").cast("long").alias("id")).agg(F.max(F.struct(*FIELDS)).alias("d")).select("id", *[f"d.{f}" for f in FIELDS])
-        field_terms(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
-        written = self.spark.read.parquet(f"{at}/postings")
-        written.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
-        field_stats(docs).coalesce(1).write.parquet(f"{at}/stats")
         ids = docs.select("id", F.lit(True).alias("put"))
         if gone is not None:
             ids = ids.union(gone.select(F.col("id").cast("long"), F.lit(False)))
-        ids.distinct().write.parquet(f"{at}/ids")
+        return self._store(blocks(field_terms(docs)), field_stats(docs), ids.distinct())
+
+    def _store(self, packed: DataFrame, stats: DataFrame, ids: DataFrame) -> str:
+        name = f"s-{uuid.uuid4().hex}"
+        at = f"{self.root}/{name}"
+        packed.repartitionByRange("term", "field", "block").sortWithinPartitions("term", "field", "block").write.parquet(f"{at}/blocks")
+        stats.coalesce(1).write.parquet(f"{at}/stats")
+        ids.write.parquet(f"{at}/ids")
         return name
 
     def put(self, docs: DataFrame) -> None:
@@ -88,21 +128,47 @@ class TextIndex:
     def delete(self, ids: DataFrame) -> None:
         self._pending.append(self._write(None, ids))
 
-    def _publish(self, segments: list[str]) -> None:
-        try:
-            last = self.spark.read.parquet(f"{self.root}/manifest").agg(F.max("version")).first()[0]
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            last = 0
-        self.spark.createDataFrame([(last + 1, segments)], "version long, segments array<string>").coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
-
-    def commit(self) -> None:
-        if self.read_only:
-            raise Unavailable("opened for reading")
-        if self._pending:
-            self._publish(self._segments() + self._pending)
+    def _publish(self, segments: list[str], batch: int | None = None) -> None:
+        """Name the segments in a new version, with the sums of their statistics, so that a search finds both in one read."""
+        row = self._manifest()
+        sums = self._read(segments, "stats").groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).collect()
+        entry = (row.version + 1 if row else 1, segments, [(r.field, r.docs, r.total) for r in sums], batch if batch is not None else row.batch if row else None)
+        kinds = "version long, segments array<string>, stats array<struct<field:string,docs:long,total:long>>, batch long"
+        self.spark.createDataFrame([entry], kinds).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+
+    def _hide(self, segments: list[str], name: str) -> None:
+        """Write what a segment hides of earlier ones."""
+        new = self._read([name], "ids").select("id")
+        old = self._read(segments, "ids").where("put").select("id", F.col("segment").alias("victim")) if segments else new.limit(0).withColumn("victim", F.lit(""))
+        old.join(new, "id", "left_semi").select("victim", F.col("id").alias("doc_id")).write.mode("overwrite").parquet(f"{self.root}/{name}/hides")
+
+    def commit(self, batch: int | None = None) -> None:
+        """Make pending segments visible; ``batch`` is kept with them, see ``applied``."""
+        self._check()
+        segments, old = self._segments(), []
+        for name in self._pending:
+            self._hide(segments, name)
+            segments.append(name)
+        if len(segments) > MOST:
+            old = segments[1:]
+            merged = self._merge(old)
+            self._hide(segments[:1], merged)
+            segments = [segments[0], merged]
+        if self._pending or batch is not None and segments:
+            self._publish(segments, batch)
             self._pending = []
+        for name in old:
+            remove(self.spark, f"{self.root}/{name}")
+
+    def _merge(self, segments: list[str]) -> str:
+        """One segment of what several, in order, still show; ids that they delete stay deleted."""
+        last = self._last(segments)
+        rows = self._postings(self._live(self._read(segments, "blocks"), segments)).drop("segment")
+        totals = rows.groupBy("doc_id", "field").agg(F.first("length").alias("l")).groupBy("field").agg(F.sum("l").cast("long").alias("total"))
+        n = last.where("put").count()
+        fields = self.spark.createDataFrame([(f, n) for f in FIELDS], "field string, docs long")
+        stats = fields.join(totals, "field", "left").select("field", "docs", F.coalesce("total", F.lit(0)).alias("total"))
+        return self._store(blocks(rows), stats, last.select("id", "put"))
 
     def rebuild(self, docs: DataFrame, expect: int | None = None) -> int:
         """Replace all segments by one of ``docs``. If the index has not as many documents as ``expect``, nothing changes."""
@@ -110,13 +176,15 @@ class TextIndex:
         n = self.spark.read.parquet(f"{self.root}/{name}/ids").count()
         if expect is not None and n != expect:
             raise Unavailable(f"{n} documents were indexed, not {expect}; the old index stays")
+        self._hide([], name)
         self._publish([name])
         return n
 
     def _last(self, segments: list[str]) -> DataFrame:
-        """(id, last, put): the last segment that puts or deletes each id."""
-        rows = self._read(segments, "ids").groupBy("id").agg(F.max(F.struct("segment", "put")).alias("m"))
-        return rows.select("id", F.col("m.segment").alias("last"), "m.put")
+        """(id, put): whether the last segment that names an id puts it."""
+        names = F.array(*[F.lit(s) for s in segments])
+        rows = self._read(segments, "ids").groupBy("id").agg(F.max(F.struct(F.array_position(names, F.col("segment")).alias("no"), "put")).alias("m"))
+        return rows.select("id", "m.put")
 
     def built(self) -> bool:
         return bool(self._segments())
@@ -126,28 +194,79 @@ class TextIndex:
         segments = self._segments()
         return self._last(segments).where("put").count() if segments else 0
 
-    def _live(self, rows: DataFrame, segments: list[str]) -> DataFrame:
+    def _postings(self, packed: DataFrame) -> DataFrame:
+        return packed.select("segment", "term", "field", F.explode("docs").alias("d")).select("segment", "term", "field", "d.*")
+
+    def _live(self, packed: DataFrame, segments: list[str]) -> DataFrame:
+        """Blocks without the documents that a later segment hides."""
         if len(segments) == 1:
-            return rows
-        last = self._last(segments).select(F.col("id").alias("doc_id"), "last")
-        return rows.join(last, "doc_id").where(F.col("segment") == F.col("last"))
+            return packed
+        hidden = self._read(segments[1:], "hides").select("victim", F.shiftright("doc_id", BLOCK_BITS).alias("block"), "doc_id")
+        hidden = hidden.groupBy(F.col("victim").alias("segment"), "block").agg(F.collect_set("doc_id").alias("_gone"))
+        left = F.when(F.col("_gone").isNull(), F.col("docs")).otherwise(F.filter("docs", lambda d: ~F.array_contains("_gone", d["doc_id"])))
+        return packed.join(hidden, ["segment", "block"], "left").withColumn("docs", left).drop("_gone")
+
+    def _none(self) -> DataFrame:
+        self.read = Read(0, 0)
+        return self.spark.createDataFrame([], "doc_id long, score double")
 
     def search(self, text: str, k: int = 50) -> DataFrame:
         """(doc_id, score): the k best by BM25 summed over the fields, ties to smaller ids. Unparsable queries give nothing."""
-        query, segments = parse(text, FIELDS), self._segments()
+        query, row = parse(text, FIELDS), self._manifest()
         words = sorted({t for _, c in (query.should + query.must + query.never) for t in c}) if query else []
-        if not segments or not words or not query.should + query.must:
-            return self.spark.createDataFrame([], "doc_id long, score double")
-        stats = {r.field: (r.docs, r.total) for r in self._read(segments, "stats").groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).collect()}
-        found = self._read(segments, "terms").where(F.col("term").isin(words)).groupBy("field", "term").agg(F.sum("df").alias("df")).collect()
-        df = {(r.field, r.term): r.df for r in found}
-        rows = self._live(self._read(segments, "postings").where(F.col("term").isin(words)), segments)
-        hit = lambda f, t: (F.col("field") == f) & (F.col("term") == t)
-        # Only what the query can use: at most one column of each kind for a field and a term that occurs in it.
+        if row is None or not words or not query.should + query.must:
+            return self._none()
+        segments, stats = list(row.segments), {s.field: (s.docs, s.total) for s in row.stats}
+        own = self._read(segments, "blocks").where(F.col("term").isin(words))
+        df = {(r.field, r.term): r.df for r in own.groupBy("field", "term").agg(F.sum("n").alias("df")).collect()}
         used = {(f, t): i for i, (f, t) in enumerate(sorted(df))}
+        scoring = [x for x in used if clauses(query, *x)]
+        if not scoring:
+            return self._none()
+        # The largest part of a score that a term can add in a block: by its largest frequency and least length there.
+        part = F.coalesce(*[F.when((F.col("field") == f) & (F.col("term") == t), bm25(F.col("most"), F.col("least"), df[f, t], stats[f])) for f, t in scoring], F.lit(0.0))
+        bounds = own.groupBy("segment", "block").agg(F.sum(part).alias("bound"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+        head = bounds.orderBy(F.desc("bound"), "segment", "block").limit(FIRST_BLOCKS + 1).collect()
+        first, held = [], 0
+        for r in head[:FIRST_BLOCKS]:
+            if held >= FIRST_DOCS * k:
+                break
+            first.append(r)
+            held += r.n
+        opened = sum(r.rows for r in first)
+        best = self._best(query, used, df, stats, segments, self._pick(own, first), k)
+        if len(first) == len(head):
+            self.read = Read(opened, opened)
+            return best
+        found = best.collect()
+        least = found[-1].score if len(found) == k else 0.0
+        taken = F.lit(False)
+        for s in segments:
+            taken = taken | ((F.col("segment") == s) & F.col("block").isin([r.block for r in first if r.segment == s]))
+        # Scores are rounded, and equal ones go by id, so what could only tie is read too.
+        open_ = bounds.where(~taken & (F.col("bound") > 0)).withColumn("left", F.col("bound") >= least - 1e-6)
+        sums = open_.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("left"), F.col("rows"))), F.lit(0))).first()
+        self.read = Read(opened + sums[0], opened + sums[1])
+        page = self.spark.createDataFrame(found, "doc_id long, score double")
+        if not sums[1]:
+            return page
+        rest = own.join(open_.where("left").select("segment", "block"), ["segment", "block"], "left_semi")
+        more = self._best(query, used, df, stats, segments, rest, k)
+        return page.union(more).orderBy(F.desc("score"), "doc_id").limit(k)
+
+    @staticmethod
+    def _pick(own: DataFrame, first: list) -> DataFrame:
+        """Rows of some blocks, as a condition that reaches the scan."""
+        here = F.lit(False)
+        for s in {r.segment for r in first}:
+            here = here | ((F.col("segment") == s) & F.col("block").isin([r.block for r in first if r.segment == s]))
+        return own.where(F.col("block").isin([r.block for r in first])).where(here)
+
+    def _best(self, query: Query, used: dict, df: dict, stats: dict, segments: list[str], packed: DataFrame, k: int) -> DataFrame:
+        """The k best documents of some blocks."""
+        rows = self._postings(self._live(packed, segments))
+        hit = lambda f, t: (F.col("field") == f) & (F.col("term") == t)
         columns = [F.max(F.when(hit(f, t), F.col(c))).alias(f"{c}{i}") for (f, t), i in used.items() for c in ("tf", "positions", "length")]
-        if not columns:
-            return self.spark.createDataFrame([], "doc_id long, score double")
         per_doc = rows.groupBy("doc_id").agg(*columns)
         scored = per_doc.where(wanted(query, used)).select("doc_id", F.round(score(query, used, df, stats), 6).alias("score")).where("score > 0")
         return scored.orderBy(F.desc("score"), "doc_id").limit(k)
@@ -187,17 +306,25 @@ def wanted(query: Query, used: dict[tuple[str, str], int]) -> Column:
     return out
 
 
+def clauses(query: Query, field: str, term: str) -> list[list[str]]:
+    """The clauses for which a term of a field counts."""
+    return [c for f, c in query.should + query.must if term in c and f in (None, field)]
+
+
+def bm25(tf: Column, length: Column, df: int, stats: tuple[int, int]) -> Column:
+    """A term's part of a score; it grows with the frequency and falls with the length."""
+    n, total = stats
+    return F.log1p(F.lit((n - df + 0.5) / (df + 0.5))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(max(total, 1) / max(n, 1))))
+
+
 def score(query: Query, used: dict[tuple[str, str], int], df: dict[tuple[str, str], int], stats: dict[str, tuple[int, int]]) -> Column:
     """BM25 of each field's words, summed; the words of a phrase count where the phrase occurs."""
     out = F.lit(0.0)
     for (f, t), i in used.items():
-        own = [c for field, c in query.should + query.must if t in c and field in (None, f)]
+        own = clauses(query, f, t)
         if not own:
             continue
-        n, total = stats[f]
-        d = df[f, t]
-        tf, length = F.col(f"tf{i}"), F.col(f"length{i}")
-        part = F.log1p(F.lit((n - d + 0.5) / (d + 0.5))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(max(total, 1) / max(n, 1))))
+        part = bm25(F.col(f"tf{i}"), F.col(f"length{i}"), df[f, t], stats[f])
         if [t] not in own:
             seen = F.lit(False)
             for c in own:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.paths import base_name, dataset_name, parent
 from tarnwell.operators import containment, datasets, discovery, inference, trees
-from tarnwell.sources.store import remove
+from tarnwell.sources.store import durable, remove
 
 #: Directories that a section shows; it says how many more there are.
 SHOWN = 200
@@ -179,7 +179,7 @@ def infer(
     trigger: str = "infer",
     limit: int = inference.LIMIT,
     most: int | None = None,
-    keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint(),
+    keep: Callable[[DataFrame], DataFrame] = durable,
     **asking,
 ) -> Result:
     """Run the inference over live files, and what the catalogue is then.

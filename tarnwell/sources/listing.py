@@ -27,6 +27,15 @@ def pruned(path: str, patterns: list[str]) -> bool:
     return any(path.endswith(p[1:]) if p.startswith("*.") else name.startswith(".") if p == ".*" else path.startswith(p) for p in patterns)
 
 
+def leading(path: str) -> bytes:
+    """The first bytes of a file; none if it cannot be read."""
+    try:
+        with open(path, "rb") as f:
+            return f.read(MAGIC_BYTES)
+    except OSError:
+        return b""
+
+
 def describe(path: str, server: str, magic: bool) -> tuple:
     """The row of a file; size and time are 0, and the leading bytes empty, if it cannot be read."""
     try:
@@ -34,13 +43,7 @@ def describe(path: str, server: str, magic: bool) -> tuple:
         size, mtime = s.st_size, int(s.st_mtime)
     except OSError:
         size, mtime = 0, 0
-    head = b""
-    if magic:
-        try:
-            with open(path, "rb") as f:
-                head = f.read(MAGIC_BYTES)
-        except OSError:
-            pass
+    head = leading(path) if magic else b""
     return path, server, size, mtime, head, mimetypes.guess_type(path)[0] or "application/octet-stream"
 
 

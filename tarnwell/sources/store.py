@@ -62,6 +62,12 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("\n".join([path, *sorted(found)]).encode()).hexdigest()
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """The rows as they are now, on the shared folder; they survive lost executors and are computed once."""
+    scratch_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Remove a folder with all in it, if it is there."""
     path, fs = on_files(spark, folder)
