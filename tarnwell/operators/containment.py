@@ -2,27 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions.paths import ancestors, relation
 
+#: Datasets, and bytes of their paths, up to which they are broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Bits of a filter for each path, at most, and the hashes of a path.
+BITS, MOST_BITS, HASHES = 12, 1 << 26, 4
 
-#: Datasets up to which they are broadcast.
-BROADCAST_ROWS = 200_000
 
+class PathFilter:
+    """A Bloom filter of paths as an array of 64-bit words: the words of parts merge by bit-or, and their number is bounded whatever that of the paths.
 
-def containment(files: DataFrame, datasets: DataFrame) -> DataFrame:
+    It lets through all paths that it was made of, and of others about one in 300 until MOST_BITS are reached, more beyond.
+    """
+
+    def __init__(self, paths: DataFrame, count: int) -> None:
+        bits = 1 << 12
+        while bits < min(MOST_BITS, BITS * count):
+            bits *= 2
+        self.bits = bits
+        at = paths.select(F.explode(F.array(*self._places(F.col("path")))).alias("at"))
+        one = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, CAST(at & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        words = [0] * (bits >> 6)
+        for r in one.collect():
+            words[r.word] = r.bits
+        self.words = pa.table({"words": pa.array([words], pa.list_(pa.int64()))})
+
+    def _places(self, path: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(k), path), F.lit(self.bits)) for k in range(HASHES)]
+
+    def holds(self, path: Column) -> Column:
+        """Whether a path may be among those; a condition in the JVM, with the words as one value."""
+        words = SparkSession.active().createDataFrame(self.words).scalar()
+        out = F.lit(True)
+        for at in self._places(path):
+            out = out & (F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1)
+        return out
+
+
+def containment(files: DataFrame, datasets: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(dataset_id, dataset_path, file_id): every dataset at or above a file's path, to any depth.
 
     Each file gives one row per ancestor (the depth of the tree bounds their number), which an equi-join matches; a
-    join on a prefix condition would compare all pairs. Up to BROADCAST_ROWS datasets, as counted, go to the files, so that
-    ancestors that are no dataset never leave their task; more are joined by a shuffle, whose hot keys (datasets near the root) are split as
-    it runs.
+    join on a prefix condition would compare all pairs. Datasets up to ``broadcast_rows`` and BROADCAST_BYTES, as counted, go to the files, so that
+    ancestors that are no dataset never leave their task. Of more a filter of bounded size goes there, which drops nearly all of those; the rest are
+    joined by a shuffle, whose hot keys (datasets near the root) are split as it runs.
     """
     up = files.select(F.col("id").alias("file_id"), F.explode(ancestors("path", itself=True)).alias("dataset_path"))
     own = datasets.select(F.col("id").alias("dataset_id"), F.col("path").alias("dataset_path"))
-    own = F.broadcast(own) if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else own
+    n, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("dataset_path")), F.lit(0))).first()
+    if n <= broadcast_rows and size <= BROADCAST_BYTES:
+        own = F.broadcast(own)
+    else:
+        up = up.where(PathFilter(datasets.select("path"), n).holds(F.col("dataset_path")))
     return up.join(own, "dataset_path").select("dataset_id", "dataset_path", "file_id")
 
 

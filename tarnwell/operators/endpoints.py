@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tarnwell.functions.text import fold
 from tarnwell.operators import relational
 from tarnwell.operators.relational import BadRequest, NotFound, Page
 
@@ -34,15 +35,13 @@ def _page(rows: DataFrame, limit: int, cursor: Callable[[Row], Any], counts: dic
 
 
 def datasets(tables: dict[str, DataFrame], page: Page) -> Answer:
-    """A page of datasets, and with a query the counts by type."""
+    """A page of datasets, and the counts by type of all that the query and the species leave."""
     rows = relational.dataset_page(tables["dataset"], tables["asset"], tables["asset_file"], page)
     if page.sort == "relevance":
         rows, cursor = rows.orderBy("relevance_rank", "id"), lambda r: (r.relevance_rank, r.id)
     else:
         rows, cursor = rows.orderBy("id"), lambda r: (0, r.id)
-    counts = None
-    if page.query:
-        counts = {r.value: r["count"] for r in relational.type_counts(tables["dataset"], page.query, page.species).collect()}
+    counts = {r.value: r["count"] for r in relational.type_counts(tables["dataset"], page.query, page.species).collect()}
     return _page(rows, page.limit, cursor, counts)
 
 
@@ -99,4 +98,7 @@ class Cached:
 
 def facets(tables: dict[str, DataFrame], most: int = 100) -> dict[str, list[tuple[str, int]]]:
     """Values and counts of species and types; at most ``most`` of each."""
-    return {c: [(r.value, r["count"]) for r in relational.facets(tables["dataset"], c, most).collect()] for c in ("species", "dataset_type")}
+    out: dict[str, list[tuple[str, int]]] = {"species": [], "dataset_type": []}
+    for r in relational.facet_counts(tables["dataset"], most=most).where(F.col("facet").isin(*out)).orderBy(F.desc("count"), fold("value"), "value").collect():
+        out[r.facet].append((r.value, r["count"]))
+    return out

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions.paths import base_name
@@ -115,6 +115,29 @@ def facets(datasets: DataFrame, column: str, most: int = 100) -> DataFrame:
     return counted.orderBy(F.desc("count"), fold("value"), "value").limit(most)
 
 
+def facet_counts(datasets: DataFrame, query: str | None = None, species: str | None = None, dataset_type: str | None = None, most: int = 100) -> DataFrame:
+    """(facet, value, count) from one scan: "species" and "dataset_type" of all datasets, the ``most`` commonest of each, and for a query
+    "query_type", whatever type is chosen, and "query_species", whatever species is.
+
+    Groups are made once for each of both columns, with a count of all rows and of those that the query and the other
+    column's choice leave. For the query null and "unknown" are one value.
+    """
+    found = when_all(matches(query))
+    rows = datasets.select("species", "dataset_type", (found & when_all(same("species", species))).alias("_by_type"), (found & when_all(same("dataset_type", dataset_type))).alias("_by_species"))
+    sets = rows.groupingSets([["species"], ["dataset_type"]], "species", "dataset_type").agg(
+        F.grouping("species").alias("_g"), F.count(F.lit(1)).alias("n"), F.count_if("_by_type").alias("t"), F.count_if("_by_species").alias("s"),
+    )
+    one = lambda facet, value, count: F.struct(F.lit(facet).alias("facet"), value.alias("value"), F.col(count).alias("count"))
+    known = lambda c: F.when(filled(c), F.col(c))
+    told = lambda c: F.coalesce(c, F.lit("unknown"))
+    each = F.when(F.col("_g") == 0, F.array(one("species", known("species"), "n"), one("query_species", told("species"), "s")))
+    each = each.otherwise(F.array(one("dataset_type", known("dataset_type"), "n"), one("query_type", told("dataset_type"), "t")))
+    counted = sets.select(F.inline(each)).where("value IS NOT NULL AND count > 0").groupBy("facet", "value").agg(F.sum("count").alias("count"))
+    top = Window.partitionBy("facet").orderBy(F.desc("count"), fold("value"), "value")
+    ranked = counted.withColumn("_r", F.row_number().over(top)).where((F.col("_r") <= most) | F.startswith("facet", F.lit("query")))
+    return ranked.drop("_r")
+
+
 def dataset_detail(datasets: DataFrame, assets: DataFrame, links: DataFrame, dataset_id: int) -> DataFrame:
     """The assets of a dataset with their link counts."""
     if dataset_id <= 0:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.operators.fulltext import TextIndex
+from tarnwell.operators.substring import Trigrams
 from tarnwell.sources.store import fingerprint, scratch_folder
 
 EXTENSIONS = (".fastq.gz", ".bam", ".vcf.gz", ".csv", ".h5", ".gtf", "_R1.fq", ".txt")
@@ -102,6 +103,14 @@ class Catalogue:
             index.rebuild(self.indexed)
         return index
 
+    @property
+    def trigrams(self) -> Trigrams:
+        """Trigrams of what a search over files looks at, built when these files are first asked for in a session."""
+        index = Trigrams(self.spark, f"{scratch_folder(self.spark)}/grams-{fingerprint(self.spark, f'{self.dir}/orders.parquet')[:16]}")
+        if not index.built():
+            index.build(self.files, ["path", "bio_metadata", "format"])
+        return index
+
     @property
     def projects(self) -> DataFrame:
         """Suppliers as projects; names repeat."""

@@ -202,6 +202,12 @@ def weighted_search(c):
     return search.weighted(c.files, "D")
 
 
+@register("""select id, score from (select id, case when contains(lower(path), '/f1') then 3 else 0 end as score from files where not deleted) where score > 0 order by score desc, id limit 50""")
+def substring_search(c):
+    """The weighted search by stored trigrams."""
+    return search.weighted(c.trigrams.narrow(c.files, "/F1"), "/F1")
+
+
 @register("""select id, case id % 8 when 0 then 'FASTA' when 1 then 'FASTQ' when 2 then 'SAM' when 3 then 'png' when 4 then 'HDF5' when 5 then 'GFF' when 6 then 'FASTQ' end as file_type,
 case when id % 8 < 3 then 'text/plain' when id % 8 < 7 then 'application/octet-stream' end as mime from docs""")
 def second_detector(c):

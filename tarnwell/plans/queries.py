@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarnwell.functions import formats, paths, text
 from tarnwell.operators import catalog, containment, discovery, relational, search, suggest
 from tarnwell.operators.relational import Page
 from tarnwell.plans.registry import register
+from tarnwell.sources.buckets import Buckets
+from tarnwell.sources.store import scratch_folder
 from tarnwell.streaming import changes
 
 COUNTED = """
@@ -50,6 +54,14 @@ def facet_type(c):
     return relational.facets(c.datasets, "dataset_type")
 
 
+@register("""select * from (select 'species' as facet, species as value, count(*) as count from dataset where trim(species) <> '' group by 2 order by 3 desc, lower(species) limit 100) union all
+select * from (select 'dataset_type', dataset_type, count(*) from dataset where trim(dataset_type) <> '' group by 2 order by 3 desc, lower(dataset_type) limit 100) union all
+select 'query_type', coalesce(dataset_type, 'unknown'), count(*) from dataset where contains(lower(name || '|' || species || '|' || dataset_type || '|' || summary), 're') and lower(species) = 'brand#2' group by 2 union all
+select 'query_species', coalesce(species, 'unknown'), count(*) from dataset where contains(lower(name || '|' || species || '|' || dataset_type || '|' || summary), 're') and lower(dataset_type) = 'promo' group by 2""")
+def facet_counts(c):
+    return relational.facet_counts(c.datasets, "RE", "Brand#2", "PROMO")
+
+
 @register("select dataset_id, a.id, name, asset_type, count(af.file_id) as file_count from asset a left join asset_file af on af.asset_id = a.id where dataset_id = 5 group by all")
 def dataset_detail(c):
     return relational.dataset_detail(c.datasets, c.assets, c.links, 5)
@@ -141,6 +153,25 @@ def upsert_latest(c):
     return catalog.upsert(c.files, delta, 2_000_000_000).select("path", "size", "deleted", "indexed_at", F.col("updated_at").cast("long"), "id")
 
 
+@register(""", delta as (select path, size + 1 as size, mtime + 5 as mtime, source_server from files where id % 10 = 0
+  union all select '/new/f' || cast(id as varchar), size, mtime, source_server from files where id % 100 = 1)
+select coalesce(f.path, d.path) as path, case when d.path is not null then d.size else f.size end as size, case when d.path is not null then false else f.deleted end or coalesce(f.id % 7 = 3 and f.id % 10 <> 0, false) as deleted,
+  coalesce(f.indexed_at, 2000000000) as indexed_at, case when d.path is not null or f.id % 7 = 3 then 2000000000 else f.updated_at end as updated_at, f.id as known_id, f.id is null as fresh
+from files f full join delta d on f.path = d.path""")
+def upsert_buckets(c):
+    """The same upsert, and soft deletes, over files in buckets; ids of new files follow the largest."""
+    files = c.files
+    table = Buckets(c.spark, f"{scratch_folder(c.spark)}/buckets-{uuid.uuid4().hex}")
+    table.create(files, 32)
+    old = files.where("id % 10 = 0").select("path", (F.col("size") + 1).alias("size"), (F.col("mtime") + 5).alias("mtime"), "source_server")
+    new = files.where("id % 100 = 1").select(F.concat(F.lit("/new/f"), F.col("id").cast("string")).alias("path"), "size", "mtime", "source_server")
+    delta = old.union(new).withColumn("format", F.lit(None).cast("string"))
+    table.change(delta, files.where("id % 7 = 3 AND id % 10 <> 0").select("path"), 2_000_000_000)
+    top = files.agg(F.max("id")).first()[0] or 0
+    fresh = F.col("id") > top
+    return table.read().select("path", "size", "deleted", "indexed_at", "updated_at", F.when(~fresh, F.col("id")).alias("known_id"), fresh.alias("fresh"))
+
+
 @register("select id, path, deleted or id % 7 = 0 as deleted, case when id % 7 = 0 then 2000000000 else updated_at end as updated_at from files")
 def soft_delete(c):
     return catalog.soft_delete(c.files, c.files.where("id % 7 = 0"), 2_000_000_000).select("id", "path", "deleted", F.col("updated_at").cast("long"))
@@ -198,6 +229,12 @@ def containment_links(c):
     return containment.containment(c.docs, c.dirs_as_datasets).select("dataset_path", "file_id")
 
 
+@register(NESTED + "select ds.path as dataset_path, up.id as file_id from up join ds on up.dir = ds.path")
+def containment_filtered(c):
+    """The same for more datasets than are broadcast: ancestors pass a filter of bounded size before they are shuffled."""
+    return containment.containment(c.docs, c.dirs_as_datasets, broadcast_rows=0).select("dataset_path", "file_id")
+
+
 @register(NESTED + "select up.id as file_id, max(ds.path) as dataset_path from up join ds on up.dir = ds.path group by 1")
 def most_specific_dataset(c):
     d = c.dirs_as_datasets
