@@ -16,15 +16,18 @@ BIO_EXTENSIONS = (
     "maf aln stockholm nhx phyloxml hmm sto anchors collinearity pdb pdbqt mmcif cif sdf mol mol2 "
     "mzml mzxml mzdata nmrml biom qza qzv agp chain net gmt gmx kgml gpml obo idat gtc cel phen blup gebv"
 ).split()
+# Endings of compressed files, endings that count as one, directories that are left out, directory names that say nothing.
 COMPRESSIONS = ("gz", "bz2", "bz", "xz", "zst", "zstd")
 COMPOUNDS = ("fastq.gz", "fq.gz", "vcf.gz", "gff.gz", "tsv.gz", "csv.gz", "txt.gz", "tab.gz")
+# The endings that count as one for the tree of an inference.
+SECOND_COMPOUNDS = ("fastq.gz", "fq.gz", "vcf.gz", "gff.gz", "tsv.gz", "csv.gz", "txt.gz", "tab.gz", "fa.gz")
 NOISE = (".git", "node_modules", "__pycache__", ".DS_Store", "__MACOSX", ".idea", ".vscode", "target")
 GENERIC = ("data", "results", "analysis", "raw", "processed", "fastq", "bam", "vcf", "rnaseq", "chipseq", "src", "home", "tmp", "projects", "users", "", "/", ".")
 # Suffixes of the files that are shown first.
 KEY_SUFFIXES = "fastq.gz fq.gz fastq fasta fa.gz fa bam vcf.gz vcf gff3 gtf bed h5 hdf5".split()
 # Names of files that describe the files around them.
 METADATA_FILES = "design.csv design.tsv metadata.csv metadata.xlsx README.md readme.txt samples.csv samples.tsv config.yaml config.yml manifest.csv".split()
-# Accession prefixes and what they name.
+# Accession prefixes and what they name.
 ACCESSIONS = (
     ("SRR|ERR|DRR", "SRA_run"),
     ("SRX|ERX|DRX", "SRA_experiment"),
@@ -75,6 +78,13 @@ def extension(name: Column | str) -> Column:
     return F.when(packed.isin(plain) | pair.isin(*COMPOUNDS), pair).when(F.contains(low, F.lit(".")), last).otherwise("(noext)")
 
 
+def second_extension(name: Column | str) -> Column:
+    """Lower-case extension by the rule of the inference's trees: one of its compounds, else what follows the last dot; "(noext)" without a dot."""
+    low = F.lower(_c(name))
+    pair = F.regexp_extract(low, r"\.(" + "|".join(re.escape(e) for e in SECOND_COMPOUNDS) + ")$", 1)
+    return F.when(pair != "", pair).when(F.contains(low, F.lit(".")), F.regexp_extract(low, r"\.([^.]*)$", 1)).otherwise("(noext)")
+
+
 def is_bio(ext: Column | str) -> Column:
     inner = F.regexp_replace(F.lower(_c(ext)), r"\.(?:" + "|".join(COMPRESSIONS) + ")$", "")
     return F.lower(_c(ext)).isin(BIO_EXTENSIONS) | inner.isin(BIO_EXTENSIONS)

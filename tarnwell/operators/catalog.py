@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwell.sources.store import durable
+
 
 def upsert(files: DataFrame, delta: DataFrame, now: int) -> DataFrame:
     """Insert or update by path: physical columns from the delta, which also revives deleted rows.
@@ -18,6 +20,8 @@ def upsert(files: DataFrame, delta: DataFrame, now: int) -> DataFrame:
     """
     last = Window.partitionBy("path").orderBy(F.desc("mtime"), F.desc("size"))
     d = delta.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("path", *[F.col(c).alias(f"_{c}") for c in ("size", "mtime", "source_server", "format")], F.lit(True).alias("_new"))
+    # The change and its new paths are used several times; they are computed once and are small beside the table.
+    d = durable(d)
     both = files.join(d, "path", "left")
     new = F.col("_new").isNotNull()
     old = both.select(
@@ -27,9 +31,8 @@ def upsert(files: DataFrame, delta: DataFrame, now: int) -> DataFrame:
         (F.col("deleted") & ~new).alias("deleted"),
         F.when(new, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    # Only new paths are numbered; they are part of the delta, which is small beside the table.
     top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = number(d.join(files.select("path"), "path", "left_anti"), ["path"], "_n").join(F.broadcast(top))
+    numbered = number(durable(d.join(files.select("path"), "path", "left_anti")), ["path"], "_n").join(F.broadcast(top))
     nothing = {c: F.lit(None).cast(files.schema[c].dataType) for c in ("bio_metadata", "species", "assay_type")}
     fresh = numbered.select(
         (F.col("_top") + F.col("_n")).alias("id"), "path", F.lit(now).cast("long").alias("indexed_at"), *[v.alias(c) for c, v in nothing.items()],

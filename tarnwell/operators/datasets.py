@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.operators.catalog import latest, number
+from tarnwell.sources.store import durable
 
 AUXILIARY = "auxiliary_files"
 
@@ -17,7 +18,7 @@ def _top(table: DataFrame, id_col: str = "id") -> DataFrame:
 
 def _numbered(table: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """New rows with ids after the largest of the table."""
-    ids = number(new, order, "_n").join(F.broadcast(_top(table)))
+    ids = number(durable(new), order, "_n").join(F.broadcast(_top(table)))
     return ids.withColumn("id", (F.col("_top") + F.col("_n")).cast("long")).drop("_n", "_top")
 
 
@@ -26,6 +27,7 @@ def put_datasets(datasets: DataFrame, new: DataFrame, now: int) -> DataFrame:
 
     ``new`` has path and any of the table's other columns, each path once; columns that it lacks are null for a new dataset and stay for a known one.
     """
+    new = durable(new)
     own = [c for c in datasets.columns if c not in ("id", "path", "indexed_at", "updated_at")]
     have = [c for c in own if c in new.columns]
     d = new.select("path", *[F.col(c).alias(f"_{c}") for c in have], F.lit(True).alias("_new"))

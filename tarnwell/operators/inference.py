@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.operators import batching
 from tarnwell.operators.catalog import number
 
 LIMIT = 12_000
@@ -28,28 +29,9 @@ DATASETS = "datasets array<struct<name:string,type:string,species:string,assets:
 def batches(candidates: DataFrame, root: str, order: str, size: str, has_children: str, limit: int = LIMIT, most: int | None = None, base: int = 0) -> DataFrame:
     """(root, order, batch): candidates of a scan root, in order, put into prompts of at most ``limit`` bytes.
 
-    A batch closes before a candidate that would pass the limit, or that would be number ``most`` + 1; a candidate with
-    children never closes one. Each choice depends on all before it, so a root is folded in one task, as a stream
-    of sizes with constant memory. A single candidate over the limit is a batch of its own.
+    See ``batching.batches``.
     """
-    text = candidates.schema[order].dataType.simpleString()
-    rows = candidates.select(F.col(root).cast("string").alias("root"), F.col(order).alias("at"), F.col(size).cast("long").alias("size"), F.coalesce(F.col(has_children), F.lit(False)).alias("kids"))
-
-    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, batch, held, total = object(), 0, 0, 0
-        for part in parts:
-            out = []
-            for r, n, kids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                if r != now:
-                    now, batch, held, total = r, 0, 0, base
-                if held and not kids and (total + n > limit or most is not None and held >= most):
-                    batch, held, total = batch + 1, 0, base
-                held, total = held + 1, total + n
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int64())], ["root", "at", "batch"])
-
-    folded = rows.repartition("root").sortWithinPartitions("root", "at").mapInArrow(fold, f"root string, at {text}, batch long")
-    return folded.withColumnsRenamed({"root": root, "at": order})
+    return batching.batches(candidates, root, order, size, has_children, limit, most, base)
 
 
 def chunks(rows: DataFrame, order: list[str], size: int = CHUNK) -> DataFrame:

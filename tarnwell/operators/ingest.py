@@ -36,13 +36,18 @@ def contexts(files: DataFrame, format_col: str = "format") -> DataFrame:
 
 def interpretation(path: Column | str, kind: Column) -> Column:
     """struct(interpreter, score, assay_type, species, project, tags) of the best built-in interpreter."""
-    found = formats.interpreter(path, kind)
-    name = found["interpreter"]
-    tags = F.when(name == "fastq", F.array(paths.paired_tag(path))).when(name == "annotation", F.array(F.lit("reference"))).otherwise(F.array().cast("array<string>"))
-    return F.struct(
-        name.alias("interpreter"), found["score"].alias("score"), F.when(name == "annotation", "annotation").alias("assay_type"), F.lit(None).cast("string").alias("species"),
-        paths.project_of(paths.ancestor_names(path)).alias("project"), tags.alias("tags"),
-    )
+
+    def told(found: Column) -> Column:
+        name = found["interpreter"]
+        tags = F.when(name == "fastq", F.array(paths.paired_tag(path))).when(name == "annotation", F.array(F.lit("reference"))).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            name.alias("interpreter"), found["score"].alias("score"), F.when(name == "annotation", "annotation").alias("assay_type"), F.lit(None).cast("string").alias("species"),
+            paths.project_of(paths.ancestor_names(path)).alias("project"), tags.alias("tags"),
+        )
+
+    # Arrays of one bind the format and the rules' answer; written out for each field they outgrow what can be compiled.
+    one = F.transform(F.array(kind), lambda k: F.get(F.transform(F.array(formats.interpreter(path, k)), told), F.lit(0)))
+    return F.get(one, F.lit(0))
 
 
 def interpretations(files: DataFrame, least: float = LEAST_SCORE) -> DataFrame:

@@ -289,6 +289,14 @@ def project_extract(c):
     return c.docs.select("id", paths.project_of(paths.ancestor_names("path")).alias("project"))
 
 
+@register("""select id, case when contains(low, '.') then coalesce(nullif(regexp_extract(low, '\\.((fastq|fq|vcf|gff|tsv|csv|txt|tab|fa)\\.gz)$', 1), ''), regexp_extract(low, '\\.([^.]*)$', 1)) else '(noext)' end as ext
+from (select id, lower(case id % 5 when 0 then path || '.GZ' when 1 then replace(split_part(path, '/', -1), '.', '-') when 2 then path || '.fa.gz' else path end) as low from docs)""")
+def second_extension(c):
+    odd = F.col("id") % 5
+    name = F.when(odd == 0, F.concat("path", F.lit(".GZ"))).when(odd == 1, F.replace(paths.base_name("path"), F.lit("."), F.lit("-"))).when(odd == 2, F.concat("path", F.lit(".fa.gz"))).otherwise(F.col("path"))
+    return c.docs.select("id", paths.second_extension(paths.base_name(name)).alias("ext"))
+
+
 @register("select p_partkey as id, regexp_replace(regexp_extract(upper(p_name), '^[^0-9.]*'), '_+$', '') as family from part where p_name <> ''", views=False)
 def name_family(c):
     return c.datasets.where("name != ''").select("id", paths.name_family("name").alias("family"))

@@ -23,6 +23,12 @@ def test_extension(spark, name, ext):
     assert one(spark, paths.extension(F.lit(name))) == ext
 
 
+def test_the_second_rule_of_extensions(spark):
+    names = {"a.FASTQ.gz": "fastq.gz", "b.fa.gz": "fa.gz", "c.tar.gz": "gz", "d.": "", "noext": "(noext)", ".hidden": "hidden", "x.vcf.gz.tmp": "tmp", "xfastq.gz": "gz", "é.TSV.GZ": "tsv.gz"}
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", paths.second_extension("name").alias("ext"))
+    assert {r.name: r.ext for r in rows.collect()} == names
+
+
 def test_bio_extensions_ignore_case(spark):
     assert one(spark, paths.is_bio(F.lit("narrowPeak"))) and one(spark, paths.is_bio(F.lit("fna.zst"))) and not one(spark, paths.is_bio(F.lit("csv.gz")))
 
