@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions.paths import ancestors, base_name, depth, parent
+from tarnwell.operators import inference
 from tarnwell.operators.discovery import extension_tops, signals, with_dir
+from tarnwell.sources.store import durable
 
 
 def file_list(files: DataFrame, shown: int = 8) -> DataFrame:
@@ -77,6 +80,33 @@ def prompt_lines(files: DataFrame, root: str, levels: int = 4, least: int = COMP
     return rows.select("path", F.concat(head, F.when(F.col("subdirs") > 0, inner).when(F.col("files") > large, flat).otherwise(leaf)).alias("line"))
 
 
+DEEPER = "datasets array<string>, deeper array<string>"
+
+
+def deepen_all(files: DataFrame, root: str, connect: Callable[[], Callable[[str], str]], rounds: int = 3, **asking) -> DataFrame:
+    """(path, round): datasets found in up to ``rounds`` rounds, each round one frame of the directories that are open.
+
+    A round makes the lines of all open directories, asks about each (``inference.ask``) and reads from the answers, JSON with ``datasets`` and
+    ``deeper``, what was found and what to open next, relative paths being below the directory asked about. A directory is opened once; an answer that is
+    no such JSON finds nothing. Nothing but the number of open directories reaches the driver.
+    """
+    spark = files.sparkSession
+    d = Described(*[durable(x) for x in described(files)])
+    open_ = spark.createDataFrame([(root,)], "top string")
+    seen, found = open_, spark.createDataFrame([], "path string, round int")
+    for n in range(rounds):
+        rows = annotated_each(d, open_).groupBy("top").agg(F.array_sort(F.collect_list(F.struct(F.concat("path", F.lit("/")).alias("at"), "line")))["line"].alias("lines"))
+        prompts = rows.select(F.col("top").alias("key"), F.concat(F.lit("# "), "top", F.lit("\n"), F.array_join("lines", "\n")).alias("prompt"))
+        told = durable(inference.ask(prompts, connect, "datasets", **asking).select(F.col("key").alias("top"), F.from_json("response", DEEPER).alias("a")))
+        each = lambda c: told.select("top", F.explode(f"a.{c}").alias("p")).select(F.when(F.startswith("p", F.lit("/")), F.col("p")).otherwise(F.concat("top", F.lit("/"), "p")).alias("path")).distinct()
+        found = durable(found.union(each("datasets").join(found, "path", "left_anti").withColumn("round", F.lit(n))))
+        open_ = durable(each("deeper").select(F.col("path").alias("top")).join(seen, "top", "left_anti"))
+        if open_.limit(1).count() == 0:
+            break
+        seen = durable(seen.union(open_))
+    return found
+
+
 def deepen(files: DataFrame, root: str, choose: Callable[[str, list[str]], tuple[list[str], list[str]]], rounds: int = 3) -> list[str]:
     """Paths of datasets found in up to ``rounds`` rounds.
 
@@ -97,26 +127,43 @@ def deepen(files: DataFrame, root: str, choose: Callable[[str, list[str]], tuple
     return found
 
 
+class Described(NamedTuple):
+    """What the lines of any directory are made of; one row for each directory in each."""
+
+    signals: DataFrame
+    own: DataFrame
+    tops: DataFrame
+
+
+def described(files: DataFrame) -> Described:
+    own = with_dir(files).groupBy(F.col("dir").alias("path")).agg(F.count(F.lit(1)).alias("files"))
+    tops = extension_tops(files).withColumn("_t", F.struct(-F.col("n"), F.col("ext"), F.format_string("%s×%d", "ext", "n").alias("text")))
+    return Described(signals(files, 1), own, tops.groupBy(F.col("dir").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("_t"))["text"], ",").alias("types")))
+
+
 def annotated(files: DataFrame, root: str) -> DataFrame:
-    """(path, line): an indented line for each directory at or below ``root`` that a reader has to judge.
+    """(path, line) of ``root``; see ``annotated_each``."""
+    spark = files.sparkSession
+    return annotated_each(described(files), spark.createDataFrame([(root,)], "top string")).select("path", "line")
+
+
+def annotated_each(d: Described, roots: DataFrame) -> DataFrame:
+    """(top, path, line): for each root (top) an indented line for each directory at or below it that a reader has to judge.
 
     Directories with domain files, or above such, are one line and not opened, but for the root; deep empty ones and all
-    below them are left out. Sorted by path with a slash appended, the lines are the tree.
+    below them are left out. Sorted by path with a slash appended, the lines are the tree. Directories meet the roots above them by equality.
     """
-    level = len(root.split("/")) - 1
-    s = signals(files, 1).where((F.col("path") == root) | F.startswith("path", F.lit(f"{root}/"))).withColumn("indent", depth("path") - level)
-    own = with_dir(files).groupBy(F.col("dir").alias("path")).agg(F.count(F.lit(1)).alias("files"))
-    tops = extension_tops(files).withColumn("_t", F.struct(-F.col("n"), F.col("ext"), F.format_string("%s×%d", "ext", "n").alias("text")))
-    tops = tops.groupBy(F.col("dir").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("_t"))["text"], ",").alias("types"))
-    below = s.where("indent > 0").groupBy(parent("path").alias("path")).agg(F.count(F.lit(1)).alias("sub"), F.count_if(F.col("signal") == "Bio").alias("bio"))
+    up_ = d.signals.select("path", "signal", F.explode(ancestors("path", itself=True)).alias("top"))
+    s = up_.join(roots.select("top").distinct(), "top").withColumn("indent", depth("path") - depth("top"))
+    below = s.where("indent > 0").groupBy("top", parent("path").alias("path")).agg(F.count(F.lit(1)).alias("sub"), F.count_if(F.col("signal") == "Bio").alias("bio"))
     bio, empty = F.col("signal").isin("Bio", "PropagatedBio"), (F.col("signal") == "Empty") & (F.col("indent") > 1)
-    shut = s.where((bio & (F.col("indent") > 0)) | empty).select(F.col("path").alias("_up"))
-    up = s.select("path", F.explode(ancestors("path")).alias("_up")).join(shut, "_up", "left_semi").select("path").distinct()
-    rows = s.where(~empty).join(up, "path", "left_anti").join(own, "path", "left").join(tops, "path", "left").join(below, "path", "left").fillna(0, ["files", "sub", "bio"])
+    shut = s.where((bio & (F.col("indent") > 0)) | empty).select("top", F.col("path").alias("_up"))
+    up = s.select("top", "path", F.explode(ancestors("path")).alias("_up")).join(shut, ["top", "_up"], "left_semi").select("top", "path").distinct()
+    rows = s.where(~empty).join(up, ["top", "path"], "left_anti").join(d.own, "path", "left").join(d.tops, "path", "left").join(below, ["top", "path"], "left").fillna(0, ["files", "sub", "bio"])
     icon = F.when(F.col("signal") == "PropagatedBio", "BIO↑").when(F.col("signal") == "Bio", "BIO").when(F.col("signal") == "Empty", "EMPTY").otherwise("?")
     head = F.concat(F.repeat(F.lit("  "), F.col("indent")), icon, F.lit(" "), base_name("path"), F.lit("/ ("))
     short = F.concat(F.format_string("auto:%d files", "files"), F.coalesce(F.concat(F.lit(" ["), "types", F.lit("]")), F.lit("")), F.format_string(" sub:%d/%d)", "bio", "sub"))
     sub = F.when(F.col("sub") > 0, F.format_string(" sub:%d", "sub")).otherwise("")
     info = F.when(F.col("sub") > 0, F.format_string(" | sub:%d bio:%d", "sub", "bio")).otherwise("")
     full = F.concat(F.format_string("f:%d ", "files"), F.coalesce("types", F.lit("none")), sub, F.lit(")"), info)
-    return rows.select("path", F.concat(head, F.when(bio & (F.col("indent") > 0), short).otherwise(full)).alias("line"))
+    return rows.select("top", "path", F.concat(head, F.when(bio & (F.col("indent") > 0), short).otherwise(full)).alias("line"))

@@ -226,3 +226,46 @@ def test_deepening_stops(spark):
         return (["e"], ["a", "/r/a/b"]) if top == "/r" else (["b/c"] if top == "/r/a" else [], ["b", "/r"])
 
     assert trees.deepen(files, "/r", choose) == ["/r/e", "/r/a/b/c"] and asked == ["/r", "/r/a", "/r/a/b", "/r/a/b/b"]
+
+
+def test_deepening_in_rounds(spark, tmp_path):
+    import os
+    import uuid
+
+    from tarnwell.operators import trees
+
+    files = spark.createDataFrame([(i, f"/r/{d}/x{i}.txt", 1) for i, d in enumerate(["a/b/c", "a/b/d", "e", "f/g"])], "id long, path string, size long")
+    asked = str(tmp_path)
+
+    def connect():
+        answers = {"/r": (["e"], ["a", "f", "/r/a/b"]), "/r/a": (["b/c"], ["b", "/r"]), "/r/f": (["e", "g"], []), "/r/a/b": (["/r/e"], ["d"])}
+
+        def call(prompt):
+            top, *lines = prompt.split("\n")
+            with open(f"{asked}/{uuid.uuid4().hex}", "w") as f:
+                f.write(prompt)
+            found, deeper = answers.get(top[2:], ([], []))
+            return json.dumps({"datasets": found, "deeper": deeper}) if top != "# /r/a/b/d" else "no JSON"
+
+        return call
+
+    got = {r.path: r.round for r in trees.deepen_all(files, "/r", connect, wait=lambda s: None).collect()}
+    assert got == {"/r/e": 0, "/r/a/b/c": 1, "/r/f/e": 1, "/r/f/g": 1}
+    texts = [open(f"{asked}/{x}").read() for x in os.listdir(asked)]
+    # The answer that is no JSON is asked for once more; every directory else once, those of a round together.
+    assert sorted(t.split("\n")[0][2:] for t in texts) == ["/r", "/r/a", "/r/a/b", "/r/a/b/d", "/r/a/b/d", "/r/f"]
+    want = [r.line for r in trees.annotated(files, "/r/a").orderBy(F.concat("path", F.lit("/"))).collect()]
+    assert next(t for t in texts if t.startswith("# /r/a\n")).split("\n")[1:] == want
+
+
+def test_small_rules(spark):
+    from tarnwell.functions import embed, paths, plugins
+
+    assert embed.dimensions("gte-base") == 768 and embed.dimensions("anything else") == 384
+    rows = spark.createDataFrame([("/a/.git/x",), ("/a/target/b/c",), ("/a/targets/b",), ("/node_modules/x",), ("/a/x.DS_Store",), ("/a/.DS_Store",)], "path string")
+    assert [r[0] for r in rows.where(~paths.in_noise("path")).collect()] == ["/a/targets/b", "/a/x.DS_Store"]
+    known = plugins.Registry()
+    for name, least, priority in (("low", 0.2, 90), ("mid", 0.5, 10), ("high", 0.9, 50)):
+        known.interpreters.append(plugins.Interpreter(name, lambda p, s=least: F.lit(s), lambda p, n=name: F.struct(F.lit(n).alias("project")), priority))
+    got = rows.limit(1).select(known.answers(F.col("path")).alias("a")).first().a
+    assert [(x.name, x.context.project) for x in got] == [("high", "high"), ("mid", "mid")]
