@@ -12,8 +12,10 @@ which is written last. Of more than ``MOST`` segments all but the first are merg
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ FIELDS = ("metadata", "path", "tags")
 BLOCK_BITS = 10
 #: A search first reads blocks with so many documents of their rarest term for each that it is asked for, and so many blocks at most.
 FIRST_DOCS, FIRST_BLOCKS = 4, 256
+#: Blocks of a query's terms up to which all are read at once.
+DIRECT = 256
 #: Segments of an index before they are merged.
 MOST = 8
 
@@ -37,8 +41,27 @@ def field_terms(docs: DataFrame) -> DataFrame:
     """(doc_id, field, term, tf, positions, length) of documents with id, metadata, path and tags (an array)."""
     fields = [F.struct(F.lit(f).alias("field"), tokens(F.concat_ws(" ", f) if f == "tags" else F.col(f)).alias("w")) for f in FIELDS]
     rows = docs.select(F.col("id").alias("doc_id"), F.explode(F.array(*fields)).alias("f")).select("doc_id", "f.field", "f.w")
-    rows = rows.select("doc_id", "field", F.size("w").alias("length"), F.posexplode("w").alias("pos", "term"))
-    return rows.groupBy("doc_id", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("length").alias("length"))
+    return rows.mapInArrow(_terms, "doc_id long, field string, term string, tf long, positions array<int>, length int")
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each row's words. A field of a document is one row, so its positions need no shuffle."""
+    for batch in batches:
+        docs, fields = batch.column(0), batch.column(1)
+        for lo in range(0, batch.num_rows, 512):
+            row, term, tf, places, length = [], [], [], [], []
+            for i, words in enumerate(batch.column(2).slice(lo, 512).to_pylist(), lo):
+                own: dict[str, list[int]] = {}
+                for at, word in enumerate(words or ()):
+                    own.setdefault(word, []).append(at)
+                row += [i] * len(own)
+                term += own
+                tf += map(len, own.values())
+                places += own.values()
+                length += [len(words or ())] * len(own)
+            pick = pa.array(row, pa.int64())
+            columns = [docs.take(pick), fields.take(pick), pa.array(term, pa.string()), pa.array(tf, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(length, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "field", "term", "tf", "positions", "length"])
 
 
 def blocks(terms: DataFrame) -> DataFrame:
@@ -218,11 +241,15 @@ class TextIndex:
             return self._none()
         segments, stats = list(row.segments), {s.field: (s.docs, s.total) for s in row.stats}
         own = self._read(segments, "blocks").where(F.col("term").isin(words))
-        df = {(r.field, r.term): r.df for r in own.groupBy("field", "term").agg(F.sum("n").alias("df")).collect()}
+        sizes = own.groupBy("field", "term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("rows")).collect()
+        df, all_ = {(r.field, r.term): r.df for r in sizes}, sum(r.rows for r in sizes)
         used = {(f, t): i for i, (f, t) in enumerate(sorted(df))}
         scoring = [x for x in used if clauses(query, *x)]
         if not scoring:
             return self._none()
+        if all_ <= DIRECT:
+            self.read = Read(all_, all_)
+            return self._best(query, used, df, stats, segments, own, k)
         # The largest part of a score that a term can add in a block: by its largest frequency and least length there.
         part = F.coalesce(*[F.when((F.col("field") == f) & (F.col("term") == t), bm25(F.col("most"), F.col("least"), df[f, t], stats[f])) for f, t in scoring], F.lit(0.0))
         bounds = own.groupBy("segment", "block").agg(F.sum(part).alias("bound"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows"))

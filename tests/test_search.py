@@ -82,6 +82,7 @@ DOCUMENT = "id long, metadata string, path string, tags array<string>"
 
 def test_only_blocks_that_can_reach_the_page_are_read(spark, crowd, tmp_path, monkeypatch):
     monkeypatch.setattr(fulltext, "BLOCK_BITS", 4)
+    monkeypatch.setattr(fulltext, "DIRECT", 0)
     index = fulltext.TextIndex(spark, str(tmp_path / "index"))
     index.rebuild(spark.createDataFrame(crowd, DOCUMENT))
     for query, k in (("rare common", 3), ("middling common alpha", 8), ("common", 20), ("tag common f5", 10), ("rare", 50)):
@@ -100,6 +101,7 @@ def test_only_blocks_that_can_reach_the_page_are_read(spark, crowd, tmp_path, mo
 def test_many_segments_are_merged(spark, crowd, tmp_path, monkeypatch):
     monkeypatch.setattr(fulltext, "MOST", 3)
     monkeypatch.setattr(fulltext, "BLOCK_BITS", 6)
+    monkeypatch.setattr(fulltext, "DIRECT", 2)
     some, folder = {d[0]: d for d in crowd[:200]}, tmp_path / "index"
     index = fulltext.TextIndex(spark, str(folder))
     index.rebuild(spark.createDataFrame(list(some.values()), DOCUMENT))
