@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import durable
 
 
-def settled(edges: DataFrame) -> bool:
-    """Whether all edges (a, b), a > b, lead straight to a root: no node has two of them, or one and is an end of another."""
+def state(edges: DataFrame) -> Row:
+    """(odd, n, most) of edges (a, b), a > b: whether any does not lead straight to a root, how many there are, and the most of one node.
+
+    All lead straight to roots if no node has two upward edges, or one and is an end of another.
+    """
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
-    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n")).where("up > 1 OR up = 1 AND n > 1")
-    return odd.isEmpty()
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n"))
+    odd = F.coalesce(F.max(F.expr("up > 1 OR up = 1 AND n > 1")), F.lit(False))
+    return nodes.agg(odd.alias("odd"), F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
 
 
 #: A node of more edges than HOT_EDGES, and than twice all edges over HOT_NODES, is hot, so at most HOT_NODES are.
@@ -35,21 +39,39 @@ def hot_from(n: int) -> int:
     return max(HOT_EDGES, 2 * n // HOT_NODES)
 
 
+def with_least(edges: DataFrame, hot: int, any_hot: bool) -> DataFrame:
+    """(a, b, m): each edge with the least b of its node a, in one shuffle by node.
+
+    With ``any_hot`` the nodes of more than ``hot`` edges get their values by broadcast, and their edges are spread over several
+    groups of a window; others are one group of at most ``hot`` rows. A window spills, so a group need not fit in memory.
+    """
+    if not any_hot:
+        return edges.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
+    many = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("known"), F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    marked = edges.join(F.broadcast(many), F.col("a") == F.col("node"), "left")
+    part = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / hot)))
+    least = F.coalesce("known", F.min("b").over(Window.partitionBy("a", "part")))
+    return marked.withColumn("part", part).select("a", "b", least.alias("m"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node of its component, for each node of an edge but the roots themselves.
 
     Large-star and small-star steps alternate until all edges lead straight to a root; each step keeps the components,
-    never has more edges than before, and the steps needed grow with the logarithm of the diameter.
-    Each round is checkpointed. Only a count reaches the driver. No edges: no rows.
+    makes one edge of each, and the steps needed grow with the logarithm of the diameter. A round takes three shuffles: one
+    by node for each step, and one that drops repeated edges.
+    Each round is checkpointed. Only one row of counts reaches the driver. No edges: no rows.
     """
     now = durable(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct())
-    values = [F.min("b").alias("m"), F.count(F.lit(1)).alias("n")]
-    while not settled(now):
-        hot = hot_from(now.count())
+    while (at := state(now)).odd:
+        hot = hot_from(at.n)
+        any_hot = at.most > hot
         both = now.union(now.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("node")).agg(*values).withColumn("m", F.least("m", "node"))
-        large = with_value(both, least, hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy(F.col("a").alias("node")).agg(*values)
-        small = with_value(large, low, hot).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = durable(small.union(low.select("node", "m")).where("a > b").distinct())
+        # Every larger neighbour is led to the least one; the node itself may be that.
+        large = with_least(both, hot, any_hot).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        if any_hot:
+            large = durable(large)  # its hot nodes are counted first
+        # No node has more edges now than before. Each edge leads its far end to the least one, and that edge leads the node itself.
+        small = with_least(large, hot, any_hot).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        now = durable(small.distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
