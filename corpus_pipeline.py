@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm import linedup, mixing, neardup, packing, quality
-from tarnwell.llm.common import durable, join_small, release, remove, shared_folder, table
+from tarnwell.llm.common import durable, join_small, phase, release, remove, shared_folder, table
 
 #: No SQL expresses a trained classifier, hash thresholds or best-fit packing; tests compare with brute force.
 ORACLE_SQL = None
@@ -47,12 +47,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text_hash"))
     hashes = durable(docs.select(docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text_hash")))
     whole = table(spark, sf_dir, "documents").select("doc_id", "text")
-    first = neardup.near_duplicates(whole, width=5, only=_unchanged(docs, whole)).where("NOT kept").select(F.col("doc_id").alias("id"))
-    first = durable(hashes.join(first, "id", "left_semi").distinct())
+    with phase(spark):
+        first = neardup.near_duplicates(whole, width=5, only=_unchanged(docs, whole)).where("NOT kept").select(F.col("doc_id").alias("id"))
+        first = durable(hashes.join(first, "id", "left_semi").distinct(), stay=True)
     release(spark)
     left = hashes.join(first.select("id"), "id", "left_anti").select("id").distinct()
-    second = neardup.near_duplicates(docs.select("doc_id", "text"), width=5, text_hash=True, only=left).where("NOT kept").select(F.col("doc_id").alias("id"), "text_hash")
-    gone = durable(first.union(second.distinct()).toDF("of", "hash"))
+    with phase(spark):
+        second = neardup.near_duplicates(docs.select("doc_id", "text"), width=5, text_hash=True, only=left).where("NOT kept").select(F.col("doc_id").alias("id"), "text_hash")
+        gone = durable(first.union(second.distinct()).toDF("of", "hash"), stay=True)
     kept = join_small(rows, gone, (F.col("id") == F.col("of")) & (F.col("text_hash") == F.col("hash")), "left_anti")
     again = durable(hashes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("of"), F.col("text_hash").alias("hash")))
     n = again.count()
@@ -100,11 +102,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Stages are written to the shared folder that the session names, read again, and removed when the next is written."""
+    """The last stage's rows. Stages are written to the shared folder that the session names, read again, and removed when the next
+    is written; checkpoints of a stage go when it is written, those of the last stay, as its rows are read from them."""
     docs, last = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with phase(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if last:
             remove(spark, last)

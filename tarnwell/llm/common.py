@@ -6,6 +6,8 @@ import gc
 import tempfile
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,40 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; it survives lost executors."""
+#: What each open phase has checkpointed, the innermost last.
+_phases: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("phases", default=())
+
+
+@contextmanager
+def phase(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints that ``durable`` makes inside are removed at the end, but for those that are to stay.
+
+    Spark itself leaves them in the shared folder for good, unless ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set. What is
+    read after the phase must be written or stay.
+    """
+    made: list[DataFrame] = []
+    outer = _phases.set((*_phases.get(), made))
+    try:
+        yield
+    finally:
+        _phases.reset(outer)
+        for df in made:
+            file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+            if file.isDefined():
+                remove(spark, file.get())
+
+
+def durable(df: DataFrame, stay: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; it survives lost executors.
+
+    It goes with the phase in which it is made, or with ``stay`` with the one around that.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    owners = _phases.get()[: -1 if stay else None]
+    if owners:
+        owners[-1].append(out)
+    return out
 
 
 def release(spark: SparkSession) -> None:

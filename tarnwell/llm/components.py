@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import durable
+from tarnwell.llm.common import durable, phase
 
 
 def state(edges: DataFrame) -> Row:
@@ -60,8 +60,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large-star and small-star steps alternate until all edges lead straight to a root; each step keeps the components,
     makes one edge of each, and the steps needed grow with the logarithm of the diameter. A round takes three shuffles: one
     by node for each step, and one that drops repeated edges.
-    Each round is checkpointed. Only one row of counts reaches the driver. No edges: no rows.
+    Each round is checkpointed; all but the last go at the end. Only one row of counts reaches the driver. No edges: no rows.
     """
+    with phase(edges.sparkSession):
+        now = durable(_settled(edges, a, b), stay=True)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _settled(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """The edges (a, b) from each node to its root."""
     now = durable(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct())
     while (at := state(now)).odd:
         hot = hot_from(at.n)
@@ -74,4 +81,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # No node has more edges now than before. Each edge leads its far end to the least one, and that edge leads the node itself.
         small = with_least(large, hot, any_hot).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = durable(small.distinct())
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return now

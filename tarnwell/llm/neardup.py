@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import Rolling, durable, groups, join_small, mix64, release, rows_of
+from tarnwell.llm.common import Rolling, durable, groups, join_small, mix64, phase, release, rows_of
 from tarnwell.llm.components import components, hot_from, with_value
 
 VALUES = 128
@@ -298,6 +298,11 @@ def crowded(placed: DataFrame, before: DataFrame | None, loose: DataFrame, numbe
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(node, root): candidate groups of classes, which have rep and sig; classes alone have no row, and roots none for themselves."""
+    with phase(classes.sparkSession):
+        return durable(_candidates(classes), stay=True)
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
     now, before, edges, loose = classes, None, None, None
     number = 0
     while True:

@@ -349,6 +349,64 @@ def test_components_with_hot_nodes(spark, monkeypatch):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_random_graphs(spark, monkeypatch):
+    """Chains, stars and random edges, repeated and looped, with hot nodes and without; roots by union-find."""
+    from tarnwell.llm import components as module
+
+    dice = random.Random(3)
+    rows = [(dice.randrange(900), dice.randrange(900)) for _ in range(600)] * 2 + [(2000, i) for i in range(1000, 1400)] + [(3000, 3000)]
+    root = {}
+
+    def top(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in rows:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    want = sorted((x, top(x)) for x in root if top(x) != x)
+    for hot in (3, 10_000):
+        monkeypatch.setattr(module, "HOT_EDGES", hot)
+        assert sorted(map(tuple, components(spark.createDataFrame(rows, "a long, b long")).collect())) == want
+
+
+def checkpoints(spark):
+    from pathlib import Path
+
+    return {str(p) for p in Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*") if p.is_dir()}
+
+
+def test_a_phase_leaves_what_is_to_stay(spark):
+    from tarnwell.llm.common import durable, phase
+
+    before = checkpoints(spark)
+    with phase(spark):
+        with phase(spark):
+            inner = durable(spark.range(5).where("id > 1"))
+            outer = durable(inner.where("id > 2"), stay=True)
+        assert len(checkpoints(spark) - before) == 1 and outer.count() == 2
+    assert checkpoints(spark) == before
+    with pytest.raises(ZeroDivisionError), phase(spark):
+        durable(spark.range(5))
+        1 / 0
+    assert checkpoints(spark) == before
+
+
+def test_near_dedup_stage_leaves_no_checkpoints(spark, sf, tmp_path):
+    """Once the stage is written in a phase nothing of it is left, and the candidate search keeps its groups only."""
+    import corpus_pipeline
+    from tarnwell.llm.common import phase
+
+    before = checkpoints(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    with phase(spark):
+        corpus_pipeline.drop_near_duplicates(spark, docs, sf).write.parquet(str(tmp_path / "out"))
+        assert checkpoints(spark) - before
+    assert checkpoints(spark) == before and 0 < spark.read.parquet(str(tmp_path / "out")).count() < docs.count()
+
+
 # Nearest neighbours
 
 
