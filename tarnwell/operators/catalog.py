@@ -42,13 +42,17 @@ def upsert(files: DataFrame, delta: DataFrame, now: int) -> DataFrame:
 
 
 def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Number rows from 1 in an order, by range partitions and their sizes instead of one window over all rows."""
-    spread = rows.repartitionByRange(*order)
-    part = spread.withColumn("_part", F.spark_partition_id())
-    ranked = part.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    """Number rows from 1 in an order, by range partitions and their sizes instead of one window over all rows.
+
+    Ranges are drawn from a sample, so they are dealt once and kept: dealt anew for the sizes, they could differ from those that the ranks are of.
+    """
+    spread = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    # Such an id is the partition's number, and in the lower 33 bits the row's place there.
+    part = F.shiftright("_at", 33)
+    sizes = spread.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranked.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+    both = spread.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return both.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_at", "_before")
 
 
 def soft_delete(files: DataFrame, paths: DataFrame, now: int) -> DataFrame:
