@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tarnwell.sources.store import durable
 
+#: Pairs of rows for a task, the most parts of a name, and equal rows that stay together, where snapshots are compared.
+PAIRS, SALTS, EQUAL = 2_000_000, 64, 64
+
 
 def upsert(files: DataFrame, delta: DataFrame, now: int) -> DataFrame:
     """Insert or update by path: physical columns from the delta, which also revives deleted rows.
@@ -84,10 +87,26 @@ def snapshot_added(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def snapshot_modified(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Names in both whose type or species differ; nulls differ from nothing."""
-    o = old.select("name", F.col("dataset_type").alias("old_type"), F.col("species").alias("old_species"))
-    both = new.select("name", "dataset_type", "species").join(o, "name")
-    return both.where((F.col("dataset_type") != F.col("old_type")) | (F.col("species") != F.col("old_species")))
+    """Names in both whose type or species differ; nulls differ from nothing.
+
+    Every new row of a name meets every old one, which is quadratic where names repeat. Equal rows are therefore counted and
+    only counts are joined; the pairs are then made as often as they occur, dealt over as many tasks as their number asks for.
+    """
+    columns = ["name", "dataset_type", "species"]
+    count = F.count(F.lit(1))
+    named = [x.where("name IS NOT NULL").groupBy("name").agg(count.alias(n)) for x, n in ((old, "_a"), (new, "_b"))]
+    tasks = int((named[0].join(named[1], "name").agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0) // PAIRS) + 1
+    salts = min(tasks, SALTS)
+    o = old.groupBy(*columns).agg(count.alias("_a")).select("name", F.col("dataset_type").alias("old_type"), F.col("species").alias("old_species"), "_a")
+    # A row that is there often is several, so that no name and no row is one task's.
+    n = new.groupBy(*columns).agg(count.alias("_n")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / EQUAL))))
+    n = n.select(*columns, F.least(F.lit(EQUAL), F.col("_n") - F.col("_k") * EQUAL).alias("_b"), F.pmod(F.xxhash64("dataset_type", "species", "_k"), F.lit(salts)).cast("int").alias("_salt"))
+    if tasks > 1:
+        n = n.repartition(tasks, "name", "_salt")
+    o = o.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = n.join(o, ["name", "_salt"]).where((F.col("dataset_type") != F.col("old_type")) | (F.col("species") != F.col("old_species")))
+    times = both.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_b")))).withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_a"))))
+    return times.select(*columns, "old_type", "old_species")
 
 
 def rollback(datasets: DataFrame, assets: DataFrame, links: DataFrame, snapshot: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -28,3 +28,18 @@ def test_numbers_where_ranges_are_sampled(spark, setting):
     got = catalog.number(rows, ["k"], "n")
     assert sorted(got.columns) == ["k", "n", "name"]
     assert got.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.count_if(F.col("n") != F.col("k") + 1), F.min(F.length("name"))).first()[:] == (n, 1, n, 0, 23)
+
+
+def test_changes_of_a_name_that_repeats(spark, monkeypatch):
+    """The pairs of one name, even of equal rows, are many tasks'; which there are is what a plain join says."""
+    monkeypatch.setattr(catalog, "PAIRS", 2000, raising=False)
+    monkeypatch.setattr(catalog, "EQUAL", 16, raising=False)
+    kind = "name string, dataset_type string, species string"
+    old = [("a", "x", "s")] * 400 + [("a", None, "t"), ("b", "x", "s"), ("c", "x", None), (None, "x", "s")] + [(f"n{i % 5}", f"t{i % 7}", f"s{i % 3}") for i in range(100)]
+    new = [("a", "y", "s")] * 400 + [("a", None, "t"), ("b", "x", "s"), ("c", "y", None), (None, "y", "s")] + [(f"n{i % 5}", f"t{i % 11}", f"s{i % 2}") for i in range(90)]
+    got = catalog.snapshot_modified(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind))
+    differ = lambda a, b: a is not None and b is not None and a != b
+    want = [(n, t, s, u, v) for n, t, s in new for m, u, v in old if n is not None and n == m and (differ(t, u) or differ(s, v))]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    per_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per_task) < 0.2 * len(want)
