@@ -127,8 +127,8 @@ def parse_datasets(responses: DataFrame, members: DataFrame, files: DataFrame) -
     names = F.array_compact(F.concat(F.array("name"), F.coalesce(tails("path", "/"), F.array()), F.coalesce(tails("name", "_"), F.array())))
     m = members.select("batch", F.explode(F.array_distinct(names)).alias("said"), F.struct("pos", "name", "path").alias("m"))
     m = m.groupBy("batch", "said").agg(F.min("m").alias("m"))
-    first = d.select("batch", "d", "said").join(m, ["batch", "said"]).select("batch", "d", "m")
-    named = d.join(first, ["batch", "d"])
+    # Places in an answer never join one reading of it with another: an answer made anew can list the same in another order.
+    named = d.join(m, ["batch", "said"])
     datasets = named.select(F.col("m.path").alias("path"), F.col("said").alias("name"), "dataset_type", "species", F.lit("high").alias("confidence"))
     a = named.select("batch", "d", F.col("m.path").alias("path"), "dataset_type", "species", F.posexplode("assets").alias("pos", "asset"))
     f = a.select("batch", "d", "path", "dataset_type", "species", "pos", F.col("asset.name").alias("asset"), F.col("asset.type").alias("asset_type"), F.posexplode("asset.files").alias("f", "file"))
@@ -136,8 +136,7 @@ def parse_datasets(responses: DataFrame, members: DataFrame, files: DataFrame) -
     # Paths are cut to the lengths of the names that their dataset is asked for, and meet them by equality.
     ends = f.select("path", F.length("said").alias("n")).distinct().join(files, "path").select("path", F.right("file_path", F.col("n")).alias("said"), "file_id")
     ends = ends.groupBy("path", "said").agg(F.min("file_id").alias("file_id"))
-    found = f.join(ends, ["path", "said"]).select("batch", "d", "pos", "f", "file_id")
-    links = f.join(found, ["batch", "d", "pos", "f"]).select("path", "asset", "asset_type", "pos", "file_id", F.col("file.role").alias("role"), "dataset_type", "species")
+    links = f.join(ends, ["path", "said"]).select("path", "asset", "asset_type", "pos", "file_id", F.col("file.role").alias("role"), "dataset_type", "species")
     told = links.where((F.col("dataset_type") != "other") | F.col("species").isNotNull()).select("file_id", F.col("dataset_type").alias("assay_type"), "species").distinct()
     return datasets, links.drop("dataset_type", "species"), told
 

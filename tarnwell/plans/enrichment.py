@@ -61,7 +61,7 @@ def answer_links(c):
         name.alias("name"), F.lit("genome").alias("type"),
         F.array(F.struct(F.lit("ds").alias("name"), F.transform("ends", lambda e: F.struct(e.alias("path"), F.lit("primary").alias("role"))).alias("files"))).alias("assets"),
     )
-    answers = assets.select("batch", told.alias("d")).groupBy("batch").agg(F.to_json(F.struct(F.collect_list("d").alias("datasets"))).alias("response"))
+    answers = assets.select("batch", told.alias("d")).groupBy("batch").agg(F.to_json(F.struct(F.sort_array(F.collect_list("d")).alias("datasets"))).alias("response"))
     members = d.select("batch", F.col("id").alias("pos"), F.col("path").alias("name"), "path")
     _, links, _ = inference.parse_datasets(answers, members, files.drop("batch"))
     named = links.join(files.select("path", "file_id", "file_path"), ["path", "file_id"])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.operators import catalog
+from tarnwell.operators import catalog, inference
 
 
 @pytest.fixture
@@ -43,3 +43,24 @@ def test_changes_of_a_name_that_repeats(spark, monkeypatch):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     per_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert max(per_task) < 0.2 * len(want)
+
+
+def test_answers_made_anew_in_another_order(spark):
+    """An answer is read several times; each time it may list its datasets and files otherwise, as a grouping over several machines does."""
+    names = [f"n{i}" for i in range(40)]
+    ends = [f"/f{j}" for j in range(6)]
+
+    def answer(_):
+        import json
+        import random
+
+        rng = random.SystemRandom()
+        each = [{"name": n, "type": "genome", "assets": [{"name": "g", "files": [{"path": n + e, "role": e} for e in rng.sample(ends, len(ends))]}]} for n in names]
+        return json.dumps({"datasets": rng.sample(each, len(each))})
+
+    responses = spark.range(3).select(F.col("id").alias("batch"), F.udf(answer, "string").asNondeterministic()("id").alias("response"))
+    members = spark.createDataFrame([(b, i, n, f"/d{b}/{n}") for b in range(3) for i, n in enumerate(names)], "batch long, pos int, name string, path string")
+    files = [(f"/d{b}/{n}", 1000 * b + 10 * i + j, f"/d{b}/{n}{e}") for b in range(3) for i, n in enumerate(names) for j, e in enumerate(ends)]
+    datasets, links, _ = inference.parse_datasets(responses, members, spark.createDataFrame(files, "path string, file_id long, file_path string"))
+    assert sorted(map(tuple, links.select("path", "file_id", "role").collect())) == sorted((p, i, f"/{f.rsplit('/', 1)[1]}") for p, i, f in files)
+    assert sorted(map(tuple, datasets.select("path", "name").collect())) == sorted((f"/d{b}/{n}", n) for b in range(3) for n in names)
