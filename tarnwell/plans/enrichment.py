@@ -136,7 +136,10 @@ def embedding_text(c):
 
 @register("select id, lpad(printf('%.1f', size / 1048576), 8, ' ') || ' MB  [' || coalesce(assay_type, '-') || ']  ' || path as line from files where not deleted")
 def list_lines(c):
-    return c.files.where("NOT deleted").select("id", F.format_string("%8.1f MB  [%s]  %s", F.col("size") / 1048576, F.coalesce("assay_type", F.lit("-")), "path").alias("line"))
+    mb = F.abs("size") / 1048576
+    # A half goes to the even digit, as in C; the formatter alone would take it up.
+    shown = F.bround(mb, 1) * F.when(F.col("size") < 0, -1.0).otherwise(1.0)
+    return c.files.where("NOT deleted").select("id", F.format_string("%8.1f MB  [%s]  %s", shown, F.coalesce("assay_type", F.lit("-")), "path").alias("line"))
 
 
 @register(None)

@@ -1,9 +1,14 @@
 """What goes wrong only over larger tables, in small: sampled ranges, rows made anew in another order, uneven groups, builds."""
 
+import datetime
+
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.operators import catalog, inference
+from tarnwell.plans import enrichment, queries, writing  # noqa: F401 - registers queries
+from tarnwell.plans.registry import QUERIES, SQL
 
 
 @pytest.fixture
@@ -64,3 +69,13 @@ def test_answers_made_anew_in_another_order(spark):
     datasets, links, _ = inference.parse_datasets(responses, members, spark.createDataFrame(files, "path string, file_id long, file_path string"))
     assert sorted(map(tuple, links.select("path", "file_id", "role").collect())) == sorted((p, i, f"/{f.rsplit('/', 1)[1]}") for p, i, f in files)
     assert sorted(map(tuple, datasets.select("path", "name").collect())) == sorted((f"/d{b}/{n}", n) for b in range(3) for n in names)
+
+
+def test_sizes_of_half_a_tenth(spark, tmp_path):
+    prices = [262144.5, 786432.0, 1310720.0, 1835008.9, 2 * 262144.0, 52428.0, 52429.0, 0.0, -262144.0, -1.5, -262145.0]
+    rows = [(i, i, "O", float(p), datetime.datetime(1995, 1, 1), "1-URGENT") for i, p in enumerate(prices)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    duck = oracle.connection(str(tmp_path))
+    for t in ("part", "lineitem", "documents", "supplier", "nation"):
+        duck.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    assert oracle.spark_rows(QUERIES["list_lines"](spark, str(tmp_path))) == oracle.sql_rows(duck, SQL["list_lines"])
