@@ -3,10 +3,11 @@
 import datetime
 
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.operators import catalog, inference
+from tarnwell.operators import catalog, fulltext, inference
 from tarnwell.plans import enrichment, queries, writing  # noqa: F401 - registers queries
 from tarnwell.plans.registry import QUERIES, SQL
 
@@ -79,3 +80,36 @@ def test_sizes_of_half_a_tenth(spark, tmp_path):
     for t in ("part", "lineitem", "documents", "supplier", "nation"):
         duck.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     assert oracle.spark_rows(QUERIES["list_lines"](spark, str(tmp_path))) == oracle.sql_rows(duck, SQL["list_lines"])
+
+
+def test_an_index_reads_each_text_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(i):
+        seen.add(1)
+        return f"apache thing {i} " * (i % 3 + 1)
+
+    docs = spark.range(3000).select("id", F.udf(read, "string").asNondeterministic()("id").alias("metadata"), F.lit("/a").alias("path"), F.array(F.lit("t")).alias("tags"))
+    index = fulltext.TextIndex(spark, str(tmp_path / "index"))
+    assert index.rebuild(docs) == 3000 and seen.value == 3000
+    assert sorted((s.field, s.docs, s.total) for s in index._manifest().stats) == [("metadata", 3000, 18000), ("path", 3000, 3000), ("tags", 3000, 3000)]
+
+
+def test_blocks_packed_in_pieces(monkeypatch):
+    """However many documents are packed at a time, and however batches fall, the postings are the same; so are a null id's, and none of empty texts."""
+    docs = [(i // 8, i, [f"w{i % 5}", "all", "é", f"w{i % 5}"][: i % 5], None if i % 4 == 0 else ["p", f"w{i}"], []) for i in range(50)] + [(None, None, ["all"], ["p"], ["t"])]
+    kind = pa.schema([("block", pa.int64()), ("id", pa.int64()), *[(f, pa.list_(pa.string())) for f in fulltext.FIELDS]])
+    found = []
+    for most, step in ((1 << 21, 100), (1 << 21, 7), (9, 7), (1, 50)):
+        monkeypatch.setattr(fulltext, "TOKENS", most)
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, d)) for d in docs[lo : lo + step]], kind) for lo in range(0, len(docs), step)]
+        out = [r for b in fulltext._pack(iter(batches)) for r in b.to_pylist()]
+        assert all(r["n"] == len(r["docs"]) and r["most"] == max(d["tf"] for d in r["docs"]) and r["least"] == min(d["length"] for d in r["docs"]) for r in out)
+        found.append(sorted(str((r["term"], r["field"], r["block"], d)) for r in out for d in r["docs"]))
+        if most > 100:
+            assert len({(r["term"], r["field"], r["block"]) for r in out}) == len(out)
+    want = sorted(
+        str((t, f, d[0], {"doc_id": d[1], "tf": w.count(t), "length": len(w), "positions": [k for k, x in enumerate(w) if x == t]}))
+        for d in docs for f, w in zip(fulltext.FIELDS, d[2:]) for t in set(w or ())
+    )
+    assert found == [want] * 4
