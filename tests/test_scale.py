@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.operators import catalog, fulltext, inference
+from tarnwell.operators import catalog, fulltext, inference, substring
 from tarnwell.plans import enrichment, queries, writing  # noqa: F401 - registers queries
 from tarnwell.plans.registry import QUERIES, SQL
 
@@ -113,3 +113,25 @@ def test_blocks_packed_in_pieces(monkeypatch):
         for d in docs for f, w in zip(fulltext.FIELDS, d[2:]) for t in set(w or ())
     )
     assert found == [want] * 4
+
+
+def test_trigrams_are_packed_and_texts_read_once(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(i):
+        seen.add(1)
+        return f"/srv/{i % 7}/F{i}.dat"
+
+    rows = spark.range(0, 5000, 1, 2).select("id", F.udf(read, "string").asNondeterministic()("id").alias("path"), F.lit("{}x").alias("note"))
+    index = substring.Trigrams(spark, str(tmp_path / "grams"))
+    index.build(rows, ["path", "note"])
+    assert seen.value == 5000
+    stored = spark.read.parquet(f"{tmp_path}/grams/postings")
+    assert stored.count() < 5000 and stored.select(F.sum(F.size("ids"))).first()[0] == sum(len({p[k : k + 3] for k in range(len(p) - 2)}) + 1 for p in (f"/srv/{i % 7}/F{i}.dat" for i in range(5000)))
+    assert sorted({r.id for r in index.candidates("/f49").collect()}) == [i for i in range(5000) if str(i).startswith("49")]
+    # Several lots a batch.
+    monkeypatch.setattr(substring, "LOT", 30)
+    batch = pa.RecordBatch.from_pylist([{"id": i, "path": t} for i, t in enumerate(["abcabc", None, "", "xabcx" * 10, "bca", "ab"])])
+    out = [r for b in substring._postings(iter([batch])) for r in b.to_pylist()]
+    assert {g: sorted(i for r in out if r["gram"] == g for i in r["ids"]) for g in ("abc", "bca", "xxa")} == {"abc": [0, 3], "bca": [0, 4], "xxa": [3]}
+    assert len({r["lot"] for r in out}) == 3 and len({(r["lot"], r["gram"]) for r in out}) == len(out)
