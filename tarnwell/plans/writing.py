@@ -54,7 +54,7 @@ def link_counts(c):
 @register("""select d.id, d.name, d.dataset_type, count(distinct a.id) as asset_count, count(distinct af.file_id) as file_count
 from dataset d left join asset a on a.dataset_id = d.id left join asset_file af on af.asset_id = a.id group by all""")
 def dataset_list(c):
-    rows = endpoints.dataset_list({"dataset": c.datasets, "asset": c.assets, "asset_file": c.links})
+    rows = endpoints.dataset_list({"dataset": c.datasets, "asset": c.assets, "asset_file": c.links}, c.parts("lineitem"))
     return rows.select("id", "name", "dataset_type", "asset_count", "file_count")
 
 

@@ -7,8 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.operators import catalog, fulltext, inference, substring
-from tarnwell.plans import enrichment, queries, writing  # noqa: F401 - registers queries
+from tarnwell.operators import catalog, fulltext, inference, relational, substring
+from tarnwell.plans import catalogue, enrichment, queries, writing  # noqa: F401 - registers queries
 from tarnwell.plans.registry import QUERIES, SQL
 
 
@@ -135,3 +135,22 @@ def test_trigrams_are_packed_and_texts_read_once(spark, tmp_path, monkeypatch):
     out = [r for b in substring._postings(iter([batch])) for r in b.to_pylist()]
     assert {g: sorted(i for r in out if r["gram"] == g for i in r["ids"]) for g in ("abc", "bca", "xxa")} == {"abc": [0, 3], "bca": [0, 4], "xxa": [3]}
     assert len({r["lot"] for r in out}) == 3 and len({(r["lot"], r["gram"]) for r in out}) == len(out)
+
+
+def test_lines_are_dealt_before_they_are_grouped(spark, monkeypatch):
+    """Assets and links are nearly as many as lines, so tasks get a bounded share of lines each, and none groups a file that it reads."""
+    monkeypatch.setattr(catalogue, "PART", 20_000, raising=False)
+    c = catalogue.Catalogue(spark, "/root/testdata/sf0.01")
+    for rows in (c.assets, c.links):
+        per_task = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per_task) > 50_000 and max(per_task) < 0.05 * sum(per_task)
+    duck = oracle.connection(c.dir)
+    assert oracle.spark_rows(QUERIES["dataset_list"](spark, c.dir)) == oracle.sql_rows(duck, SQL["dataset_list"])
+
+
+@pytest.mark.parametrize("parts", [None, 7])
+def test_counts_of_repeats_and_nulls(spark, parts):
+    assets = spark.createDataFrame([(1, 10), (1, 10), (2, 10), (3, 11), (4, None), (None, 12), (100, 10)], "id long, dataset_id long")
+    links = spark.createDataFrame([(1, 100), (1, 100), (2, 100), (2, 101), (9, 5), (3, None), (None, 7)], "asset_id long, file_id long")
+    got = relational.dataset_counts(assets, links, parts)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(["(10, 3, 2)", "(11, 1, 0)", "(None, 1, 0)", "(12, 0, 0)"])
