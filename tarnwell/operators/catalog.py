@@ -97,16 +97,23 @@ def snapshot_modified(old: DataFrame, new: DataFrame) -> DataFrame:
     named = [x.where("name IS NOT NULL").groupBy("name").agg(count.alias(n)) for x, n in ((old, "_a"), (new, "_b"))]
     tasks = int((named[0].join(named[1], "name").agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0) // PAIRS) + 1
     salts = min(tasks, SALTS)
-    o = old.groupBy(*columns).agg(count.alias("_a")).select("name", F.col("dataset_type").alias("old_type"), F.col("species").alias("old_species"), "_a")
-    # A row that is there often is several, so that no name and no row is one task's.
-    n = new.groupBy(*columns).agg(count.alias("_n")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / EQUAL))))
-    n = n.select(*columns, F.least(F.lit(EQUAL), F.col("_n") - F.col("_k") * EQUAL).alias("_b"), F.pmod(F.xxhash64("dataset_type", "species", "_k"), F.lit(salts)).cast("int").alias("_salt"))
+    o = _pieces(old.groupBy(*columns).agg(count.alias("_n")), "_a").select("name", F.col("dataset_type").alias("old_type"), F.col("species").alias("old_species"), "_a")
+    n = _pieces(new.groupBy(*columns).agg(count.alias("_n")), "_b")
+    n = n.select(*columns, "_b", F.pmod(F.xxhash64("dataset_type", "species", "_k"), F.lit(salts)).cast("int").alias("_salt"))
     if tasks > 1:
         n = n.repartition(tasks, "name", "_salt")
     o = o.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     both = n.join(o, ["name", "_salt"]).where((F.col("dataset_type") != F.col("old_type")) | (F.col("species") != F.col("old_species")))
-    times = both.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_b")))).withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_a"))))
-    return times.select(*columns, "old_type", "old_species")
+    # A stage of generated code keeps all rows that one row leads to until it gives the first. Were the join in one stage with what it feeds, those
+    # would be all pairs of a row with its name's old rows; coalesce, here to no fewer tasks, parts them, and EQUAL squared are the most kept.
+    both = both.coalesce(max(tasks, old.sparkSession.sparkContext.defaultParallelism))
+    return both.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_a") * F.col("_b")))).select(*columns, "old_type", "old_species")
+
+
+def _pieces(rows: DataFrame, name: str) -> DataFrame:
+    """Rows that are there ``_n`` times as pieces ``_k`` of at most ``EQUAL``, so that no name and no row is one task's, nor all its pairs one row's."""
+    cut = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / EQUAL))))
+    return cut.withColumn(name, F.least(F.lit(EQUAL), F.col("_n") - F.col("_k") * EQUAL))
 
 
 def rollback(datasets: DataFrame, assets: DataFrame, links: DataFrame, snapshot: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -51,6 +51,22 @@ def test_changes_of_a_name_that_repeats(spark, monkeypatch):
     assert max(per_task) < 0.2 * len(want)
 
 
+def test_changes_come_in_small_runs(spark, setting):
+    """What reads one pair has few made: not all pairs of a row that its name's old rows repeat, which one task would hold at once."""
+    setting("spark.sql.adaptive.enabled", "false")
+    kind = "name string, dataset_type string, species string"
+    old = spark.range(5000).select(F.lit("a").alias("name"), F.concat(F.lit("t"), (F.col("id") % 10).cast("string")).alias("dataset_type"), F.lit("s").alias("species"))
+    cut = catalog.snapshot_modified(old, spark.createDataFrame([("a", "y", "s")] * 64, kind)).limit(1)
+    assert len(cut.collect()) == 1
+    made, plans = [], [cut._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Generate":
+            made.append(plan.metrics().apply("numOutputRows").value())
+    assert made and 0 < max(made) <= catalog.EQUAL**2
+
+
 def test_answers_made_anew_in_another_order(spark):
     """An answer is read several times; each time it may list its datasets and files otherwise, as a grouping over several machines does."""
     names = [f"n{i}" for i in range(40)]
